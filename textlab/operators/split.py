@@ -67,7 +67,7 @@ def segment_by_cuts(df: DataFrame, group: list[str], id_col: str, seed: int, cut
     both = plain.unionByName(ranked)
     seg = F.aggregate("_ci", F.lit(0), lambda acc, x: acc + F.when(
         (F.col("_bk") > x["b"]) | ((F.col("_bk") == x["b"]) & (F.col("_r") >= x["o"])), 1).otherwise(0))
-    return both.withColumn(out, seg.cast("int")).drop("_h", "_bk", "_ci", "_r")
+    return both.select(*df.columns, seg.cast("int").alias(out))
 
 
 def take_quota(df: DataFrame, group: list[str], id_col: str, quota: DataFrame, seed: int = 101,

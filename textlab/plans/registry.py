@@ -62,4 +62,4 @@ SQL_LL = f"""(select word, o1, o2, e1, e2, 2.0 * (o1 * ln(o1 / e1) + o2 * ln(o2
   from {SQL_ALIGNED}, (select sum(o1)::DOUBLE as n1, sum(o2)::DOUBLE as n2 from {SQL_ALIGNED})))"""
 
 # Import the per-area registrations (each module calls ``register``).
-from textlab.plans import q_corpus, q_knn, q_labels, q_metrics, q_models, q_split  # noqa: E402,F401
+from textlab.plans import q_corpus, q_io, q_knn, q_labels, q_metrics, q_models, q_split  # noqa: E402,F401

@@ -22,6 +22,11 @@ def read_delimited(spark: SparkSession, path, sep: str = ",", header: bool = Tru
     ``schema`` reads a headerless file (S2).  Without a schema all columns are
     strings unless ``infer``."""
     r = spark.read.options(**READ_OPTS).option("sep", sep).option("header", str(header).lower())
+    if schema is not None and header:
+        # a header names the columns: map them to the schema by name, not by position
+        st = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        raw = r.csv(path)
+        return raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in st.fields])
     if schema is not None:
         r = r.schema(schema)
     elif infer:
