@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values that must equal the reference's for right results.
 # Punctuation marks used by the stop-word filter (33 characters, including one space).
@@ -68,15 +70,41 @@ def normalize_col(text, space_token: str | None = None, lower: bool = False,
     return c
 
 
+_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def _gram_hashes(text: str, n: int):
+    """Sorted distinct 64-bit hashes of the n-grams of ``text`` (vectorised).
+
+    Each gram is its n code points mixed into 64 bits; a text shorter than n is
+    padded with values above the largest code point, so it never equals a gram.
+    """
+    import numpy as np
+    cp = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    if len(cp) < n:
+        cp = np.concatenate([cp, np.arange(0x110000, 0x110000 + n - len(cp), dtype=np.uint64)])
+    win = np.lib.stride_tricks.sliding_window_view(cp, n)
+    h = np.full(len(win), np.uint64(n), dtype=np.uint64)
+    m0, m1, m2 = (np.uint64(x) for x in _MIX)
+    for j in range(n):
+        h = (h ^ win[:, j]) * m0
+        h ^= h >> np.uint64(31)
+    h = (h ^ (h >> np.uint64(30))) * m1
+    h = (h ^ (h >> np.uint64(27))) * m2
+    h ^= h >> np.uint64(31)
+    return np.unique(h.view(np.int64))
+
+
 def char_ngram_hashes(text, n: int = 5) -> Column:
     """Sorted distinct 64-bit hashes of the character n-grams of the whole text.
 
-    A text shorter than ``n`` has one gram, itself (so it is never empty).
+    A text no longer than ``n`` has one gram, itself (so it is never empty).
+    An Arrow UDF: ``substring`` at a moving position inside a SQL lambda
+    re-walks the UTF-8 string from its start, which is quadratic in the text
+    length; slicing in Python is linear.
     """
-    c = _col(text)
-    grams = F.when(
-        F.length(c) <= n, F.array(c)
-    ).otherwise(
-        F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, n))
-    )
-    return F.array_sort(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))))
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def grams(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _gram_hashes(t, n) for t in texts])
+
+    return grams(_col(text))

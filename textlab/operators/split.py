@@ -48,8 +48,8 @@ def segment_by_cuts(df: DataFrame, group: list[str], id_col: str, seed: int, cut
     bc = _bucket_counts(k, group)
     if group:
         bcc = bc.join(cuts.select(*group, "cuts"), group)
-    else:
-        bcc = bc.withColumn("cuts", cuts.select("cuts").scalar())
+    else:  # one group: the cut positions are a handful of numbers
+        bcc = bc.withColumn("cuts", _lit_longs(cuts))
     # the bucket holding each cut, and the cut's offset inside it
     hits = (bcc.select(*group, "_bk", "_before", "_n", F.posexplode("cuts").alias("_j", "_c"))
                .withColumn("_c", F.greatest(F.col("_c"), F.lit(0)))
@@ -57,8 +57,11 @@ def segment_by_cuts(df: DataFrame, group: list[str], id_col: str, seed: int, cut
     info = hits.groupBy(*group).agg(F.collect_list(F.struct(F.col("_bk").alias("b"), (F.col("_c") - F.col("_before")).alias("o"))).alias("_ci"))
     if group:
         rows = k.join(info, group, "left")  # one row per group; broadcast by AQE when small
-    else:
-        rows = k.withColumn("_ci", info.select("_ci").scalar())
+    else:  # one (bucket, offset) pair per cut, fetched as a literal
+        got = info.collect()
+        pairs = [] if not got else sorted((int(x["b"]), int(x["o"])) for x in got[0]["_ci"])
+        lit = F.array(*[F.struct(F.lit(b).cast("bigint").alias("b"), F.lit(o).cast("bigint").alias("o")) for b, o in pairs])
+        rows = k.withColumn("_ci", lit if pairs else F.lit(None))
     rows = rows.withColumn("_ci", F.coalesce(F.col("_ci"), F.array().cast("array<struct<b:bigint,o:bigint>>")))
     need = F.exists("_ci", lambda x: (x["b"] == F.col("_bk")) & (x["o"] > 0))
     plain = rows.where(~need).withColumn("_r", F.lit(0).cast("bigint"))
@@ -70,6 +73,23 @@ def segment_by_cuts(df: DataFrame, group: list[str], id_col: str, seed: int, cut
     return both.select(*df.columns, seg.cast("int").alias(out))
 
 
+def _lit_longs(cuts) -> "F.Column":
+    """Cut positions as a literal array; ``cuts`` is a list or a one-row DataFrame."""
+    if not isinstance(cuts, (list, tuple)):
+        cuts = cuts.first()["cuts"]
+    return F.array(*[F.lit(int(c)).cast("bigint") for c in cuts])
+
+
+def _ceil9(x: float) -> int:
+    import math
+    return int(math.ceil(round(x, 9)))
+
+
+def _floor9(x: float) -> int:
+    import math
+    return int(math.floor(round(x, 9)))
+
+
 def take_quota(df: DataFrame, group: list[str], id_col: str, quota: DataFrame, seed: int = 101,
                out: str = "in_quota") -> DataFrame:
     """Flag the first ``quota`` rows of each group in seeded order.
@@ -143,15 +163,16 @@ def split_kshot(df: DataFrame, label: str, id_col: str, k: int, ratios=(0.8, 0.1
     return _assign(segment_by_cuts(df, [label], id_col, seed, cuts))
 
 
-def stratified_train_quota(counts: DataFrame, label: str, n_train: Column) -> DataFrame:
+def stratified_train_quota(counts: DataFrame, label: str, n_train: int, total: int) -> DataFrame:
     """Largest-remainder allocation of ``n_train`` rows over classes; ties by label.
 
-    The window runs over the class table (one row per class).
+    ``total`` is the row count of ``counts``' classes.  The window runs over the
+    class table (one row per class).
     """
-    tot = counts.agg(F.sum("f").alias("n")).select("n").scalar()
-    cont = F.col("f").cast("double") * n_train / tot
-    c = counts.withColumn("_cont", _r9(cont)).withColumn("_fl", F.floor("_cont"))
-    need = (n_train - c.agg(F.sum(F.floor(_r9(F.col("f").cast("double") * n_train / tot))).alias("s")).select("s").scalar())
+    cont = _r9(F.col("f").cast("double") * F.lit(int(n_train)) / F.lit(int(total)))
+    c = counts.withColumn("_cont", cont).withColumn("_fl", F.floor("_cont"))
+    floors = c.agg(F.sum("_fl").alias("s")).first()["s"] or 0
+    need = int(n_train) - int(floors)
     w = Window.orderBy(F.desc(F.col("_cont") - F.col("_fl")), F.asc(label))
     c = c.withColumn("_rk", F.row_number().over(w))
     return c.select(label, "f", (F.col("_fl") + F.when(F.col("_rk") <= need, 1).otherwise(0)).cast("bigint").alias("n_train"))
@@ -166,17 +187,14 @@ def split_full(df: DataFrame, label: str, id_col: str, ratios=(0.8, 0.1, 0.1), s
     single = counts.where(F.col("f") == 1).select(label)
     multi_counts = counts.where(F.col("f") > 1)
     rest_df = df.join(single, label, "left_anti")
-    n_prime = multi_counts.agg(F.sum("f").alias("n")).select("n").scalar()
-    n_rest = F.ceil(_r9(n_prime * F.lit(r)))
-    n_train = n_prime - n_rest
-    q = stratified_train_quota(multi_counts, label, n_train)
+    n_prime = int(multi_counts.agg(F.sum("f").alias("n")).first()["n"] or 0)
+    n_rest = _ceil9(n_prime * r)
+    q = stratified_train_quota(multi_counts, label, n_prime - n_rest, n_prime)
     first = segment_by_cuts(rest_df, [label], id_col, seed,
                             q.select(label, F.array(F.col("n_train")).alias("cuts")), "_s1")
     train = first.where(F.col("_s1") == 0).drop("_s1").withColumn("split", F.lit("train"))
     rest = first.where(F.col("_s1") == 1).drop("_s1")
-    n_test = F.ceil(_r9(n_rest * F.lit(c / r))).cast("bigint")
-    cut2 = df.sparkSession.range(1).select(F.array(n_test).alias("cuts"))
-    second = segment_by_cuts(rest, [], id_col, seed, cut2, "_s2")
+    second = segment_by_cuts(rest, [], id_col, seed, [_ceil9(n_rest * (c / r))], "_s2")
     second = second.withColumn("split", F.when(F.col("_s2") == 0, "test").otherwise("valid")).drop("_s2")
     singles = df.join(single, label, "left_semi").withColumn("split", F.lit("train"))
     return train.unionByName(second).unionByName(singles)
@@ -187,9 +205,8 @@ def split_two(df: DataFrame, label: str, id_col: str, test: float = 0.1, seed: i
     counts = _counts(df, label)
     single = counts.where(F.col("f") == 1).select(label)
     multi_counts = counts.where(F.col("f") > 1)
-    n_prime = multi_counts.agg(F.sum("f").alias("n")).select("n").scalar()
-    n_train = n_prime - F.ceil(_r9(n_prime * F.lit(test)))
-    q = stratified_train_quota(multi_counts, label, n_train)
+    n_prime = int(multi_counts.agg(F.sum("f").alias("n")).first()["n"] or 0)
+    q = stratified_train_quota(multi_counts, label, n_prime - _ceil9(n_prime * test), n_prime)
     rest_df = df.join(single, label, "left_anti")
     seg = segment_by_cuts(rest_df, [label], id_col, seed, q.select(label, F.array("n_train").alias("cuts")))
     two = _assign(seg, ("train", "valid"))
@@ -198,10 +215,9 @@ def split_two(df: DataFrame, label: str, id_col: str, test: float = 0.1, seed: i
 
 def split_random(df: DataFrame, id_col: str, test: float | int = 0.1, seed: int = 101) -> DataFrame:
     """Unstratified two-way split of exact size (X4): ``test`` float -> ceil(test * n)."""
-    n = df.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    n_test = F.ceil(_r9(n * F.lit(float(test)))) if isinstance(test, float) else F.lit(test)
-    cut = df.sparkSession.range(1).select(F.array((n - n_test).cast("bigint")).alias("cuts"))
-    return _assign(segment_by_cuts(df, [], id_col, seed, cut), ("train", "test"))
+    n = df.count()
+    n_test = _ceil9(n * float(test)) if isinstance(test, float) else int(test)
+    return _assign(segment_by_cuts(df, [], id_col, seed, [n - n_test]), ("train", "test"))
 
 
 def sample_fraction(df: DataFrame, id_col: str, p: float, seed: int = 101) -> DataFrame:

@@ -57,3 +57,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written intermediates."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` as parquet under the shared checkpoint folder
+    and reading it back.
+
+    Used before long or repeated stages: recovery after an executor loss starts
+    from the written table, and later plans are a plain scan.  (``checkpoint()``
+    cannot convert some plans holding DataFrame scalar subqueries; a write can.)
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
