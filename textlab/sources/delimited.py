@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-READ_OPTS = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "FAILFAST"}
+# Null is written as \N (not as an empty field) so that an empty string and a
+# null both survive a round trip.
+NULL_MARK = "\\N"
+READ_OPTS = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "FAILFAST", "nullValue": NULL_MARK}
 WRITE_OPTS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
-              "quoteAll": "false", "emptyValue": '""'}
+              "quoteAll": "false", "emptyValue": '""', "nullValue": NULL_MARK}
 
 
 def read_delimited(spark: SparkSession, path, sep: str = ",", header: bool = True, schema: T.StructType | str | None = None,
