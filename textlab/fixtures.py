@@ -14,7 +14,8 @@ STOPWORDS_10 = ["the", "and", "of", "to", "a", "in", "is", "le", "la", "de"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    from textlab.sources.tables import read_table
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def corpus(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
@@ -36,11 +37,12 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = li.groupBy(F.col("l_orderkey").alias("dekaid")).agg(
         F.array_join(F.array_sort(F.collect_set(code)), ",").alias("lawids"),
         F.count(F.lit(1)).alias("_n"))
-    return g.select(
+    from textlab.session import materialize
+    return materialize(g.select(
         "dekaid", "lawids",
         F.concat(F.lit("order "), F.col("dekaid").cast("string"), F.lit(" <discr>lines "),
                  F.col("_n").cast("string"), F.lit("</discr> end")).alias("fact"),
-        (F.col("_n") % 2).cast("int").alias("isguilty"))
+        (F.col("_n") % 2).cast("int").alias("isguilty")), "cases")
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,15 +11,20 @@ from textlab.functions.text import COMPARE_EXCLUDE
 from textlab.operators.compare import (align_vocab, log_likelihood, power_divergence, spearman,
                                        vocab_report, with_pvalues, _unpivot)
 from textlab.operators.freq import filter_vocab
+from textlab.session import materialize
 
 
 def compare_corpora(freq1: DataFrame, freq2: DataFrame, min_excl: int = 5,
                     exclude: Iterable[str] = COMPARE_EXCLUDE, pvalues: bool = True) -> DataFrame:
     """``(metric STRING, value DOUBLE)`` rows: vocabulary sizes, chi2 / G / Cressie-Read
     with dof, the per-word LL sum (must equal G), Spearman rho and t, and p-values."""
+    # the frequency tables are vocabulary-sized: written once, every statistic
+    # below reads them instead of re-tokenising the corpora per subquery
+    freq1 = materialize(freq1.select("word", "frequency"), "freq1")
+    freq2 = materialize(freq2.select("word", "frequency"), "freq2")
     f1 = filter_vocab(freq1, min_excl, exclude)
     f2 = filter_vocab(freq2, min_excl, exclude)
-    aligned = align_vocab(f1, f2)
+    aligned = materialize(align_vocab(f1, f2), "aligned")
     sizes = vocab_report(freq1, freq2, f1, f2)
     stats = power_divergence(aligned)
     if pvalues:
