@@ -18,6 +18,16 @@ def test_pareto_front_matches_brute_force(spark):
     assert got == want
 
 
+def test_pareto_front_three_objectives(spark):
+    rnd = random.Random(9)
+    pts = [(i, rnd.randint(1, 12), rnd.randint(1, 12), rnd.randint(1, 12)) for i in range(400)]
+    df = spark.createDataFrame(pts, "id int, loss int, f1 int, acc int").repartition(5)
+    got = sorted(r["id"] for r in mo._pareto_front_blocked(df, {"loss": "min", "f1": "max", "acc": "max"}, block_rows=16).collect())
+    dom = lambda q, p: q[1] <= p[1] and q[2] >= p[2] and q[3] >= p[3] and (q[1] < p[1] or q[2] > p[2] or q[3] > p[3])
+    want = sorted(p[0] for p in pts if not any(dom(q, p) for q in pts))
+    assert got == want
+
+
 def test_early_stop_matches_loop(spark):
     rnd = random.Random(3)
     rows, t = [], 0

@@ -67,8 +67,9 @@ def best_trial(trials: DataFrame, metric: str = "metric", mode: str = "max", tri
 
 
 def pareto_front(df: DataFrame, objectives: dict[str, str]) -> DataFrame:
-    """Rows not dominated by any other row (M10) for two objectives, e.g.
-    ``{'p_retailprice': 'min', 'p_size': 'max'}``.
+    """Rows not dominated by any other row (M10), e.g.
+    ``{'p_retailprice': 'min', 'p_size': 'max'}``; three or more objectives
+    (the reference's loss / f1 / accuracy) use ``_pareto_front_blocked``.
 
     Exact and without a self-join: sort key = first objective.  A row is on the
     front iff its second objective beats the best second objective of every
@@ -76,7 +77,7 @@ def pareto_front(df: DataFrame, objectives: dict[str, str]) -> DataFrame:
     first.  The prefix best is a bucketed prefix over the distinct values.
     """
     if len(objectives) != 2:
-        raise NotImplementedError("pareto_front supports two objectives")
+        return _pareto_front_blocked(df, objectives)
     (a, da), (b, db) = objectives.items()
     ka = F.col(a).cast("double") if da == "min" else -F.col(a).cast("double")   # smaller = better
     kb = F.col(b).cast("double") if db == "max" else -F.col(b).cast("double")   # larger = better
@@ -88,6 +89,75 @@ def pareto_front(df: DataFrame, objectives: dict[str, str]) -> DataFrame:
     return on.drop("_ka", "_kb", "_best_here", "_best_before")
 
 
+def _dominated(p: "np.ndarray", q: "np.ndarray") -> "np.ndarray":
+    """For each row of ``p``: is some row of ``q`` at least as good everywhere and
+    better somewhere?  (smaller = better in every column)"""
+    import numpy as np
+    out = np.zeros(len(p), dtype=bool)
+    for s in range(0, len(p), 512):  # bounded memory: 512 x |q| x k booleans
+        a = p[s:s + 512, None, :]
+        le = (q[None, :, :] <= a).all(axis=2)
+        lt = (q[None, :, :] < a).any(axis=2)
+        out[s:s + 512] = (le & lt).any(axis=1)
+    return out
+
+
+def _pareto_front_blocked(df: DataFrame, objectives: dict[str, str], block_rows: int = 4096) -> DataFrame:
+    """Pareto front for any number of objectives, exact.
+
+    1. Each partition keeps its local front (``mapInPandas``): a row dominated
+       inside its partition is dominated globally, and dominance is transitive,
+       so checking the survivors against the survivors is enough.
+    2. Survivors are hashed into blocks of at most ``block_rows``; every
+       (block, block) pair is one cogroup group, and each group emits one
+       dominated flag per row of its first block -- rows, never pairs.
+    """
+    import math
+
+    import numpy as np
+    import pandas as pd
+
+    from textlab.session import materialize
+    names = list(objectives)
+    keys = [(F.col(c).cast("double") if d == "min" else -F.col(c).cast("double")).alias(f"_k{i}")
+            for i, (c, d) in enumerate(objectives.items())]
+    kcols = [f"_k{i}" for i in range(len(names))]
+    d = df.withColumn("_rid", F.monotonically_increasing_id()).select("*", *keys).dropna(subset=kcols)
+    d = materialize(d, "pareto-input")  # fixes the row ids for every later read
+    schema = d.schema
+
+    def local_front(batches):
+        # running front over Arrow batches: memory is one batch plus the front
+        front = None
+        for pdf in batches:
+            m = pdf[kcols].to_numpy(dtype=np.float64)
+            pdf = pdf[~_dominated(m, m)]
+            if front is not None and len(front):
+                m = pdf[kcols].to_numpy(dtype=np.float64)
+                pdf = pdf[~_dominated(m, front[kcols].to_numpy(dtype=np.float64))]
+                fm = front[kcols].to_numpy(dtype=np.float64)
+                front = front[~_dominated(fm, pdf[kcols].to_numpy(dtype=np.float64))]
+                pdf = pd.concat([front, pdf], ignore_index=True)
+            front = pdf
+        if front is not None:
+            yield front
+
+    surv = materialize(d.mapInPandas(local_front, schema), "pareto-survivors")
+    n = surv.count()
+    nb = max(1, math.ceil(n / block_rows))
+    ids = surv.select("_rid", *kcols).withColumn("_b", F.pmod(F.xxhash64("_rid"), F.lit(nb)).cast("int"))
+    left = ids.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    right = ids.withColumnRenamed("_b", "_o").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+
+    def check(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        flag = _dominated(p[kcols].to_numpy(dtype=np.float64), q[kcols].to_numpy(dtype=np.float64)) if len(q) else np.zeros(len(p), bool)
+        return pd.DataFrame({"_rid": p["_rid"].to_numpy(dtype=np.int64), "_dom": flag})
+
+    flags = left.groupBy("_b", "_o").cogroup(right.groupBy("_b", "_o")).applyInPandas(check, "_rid long, _dom boolean")
+    front = flags.groupBy("_rid").agg(F.max(F.col("_dom").cast("int")).alias("_dom")).where(F.col("_dom") == 0)
+    return surv.join(front, "_rid", "left_semi").drop("_rid", *kcols)
+
+
 def early_stop(log: DataFrame, run: str, order: list[str], metric: str, mode: str = "max", patience: int = 3,
                threshold: float = 0.01, bucket: Column | None = None) -> DataFrame:
     """Early-stopping point of each run.

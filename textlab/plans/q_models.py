@@ -79,6 +79,14 @@ def q_m10(spark, d):
     return mo.pareto_front(part, {"p_retailprice": "min", "p_size": "max"})
 
 
+@register("M10_3", """with e as (select vec_id, embedding[1]::DOUBLE as a, embedding[2]::DOUBLE as b, embedding[3]::DOUBLE as c from embeddings)
+  select vec_id from e p where not exists (select 1 from e q where q.a <= p.a and q.b >= p.b and q.c >= p.c
+    and (q.a < p.a or q.b > p.b or q.c > p.c))""")
+def q_m10_3(spark, d):
+    emb = fx.table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate("abc")])
+    return mo.pareto_front(emb, {"a": "min", "b": "max", "c": "max"}).select("vec_id")
+
+
 @register("M11", """with t as (select user_id as run, event_id, ts, value as metric,
     max(value) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as prev,
     row_number() over (partition by user_id order by ts, event_id) as pos from events),
