@@ -115,5 +115,5 @@ def q_a2_stream(spark, d):
     src = scratch_path(spark, "stream-src")
     io.write_lines(fx.table(spark, d, "documents").select("text", "source"), src, "text", partition_by=["source"])
     out = scratch_path(spark, "stream-out")
-    run_to_table(stream_word_freq(spark, src, max_files_per_trigger=8), out, scratch_path(spark, "stream-ckpt"))
+    run_to_table(stream_word_freq(spark, src, max_files_per_trigger=64), out, scratch_path(spark, "stream-ckpt"))
     return spark.read.parquet(out)
