@@ -7,8 +7,9 @@ Spark (``word_freq`` with ``tokenizer=``).
 
 Two plans, chosen by the dictionary's size (a checked count):
 
-* small dictionary (<= ``max_broadcast`` words): the word set travels once per
-  executor as a broadcast variable; an Arrow UDF walks each text.
+* small dictionary (<= ``max_broadcast`` words, about 30 MB as a Python set):
+  the word set travels once per executor as a broadcast variable; an Arrow UDF
+  walks each text.
 * larger dictionary: every (position, length) candidate substring is
   semi-joined to the dictionary in Spark, and the same greedy walk runs over
   each text's matched spans only.
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_BROADCAST = 2_000_000
+MAX_BROADCAST = 500_000
 
 
 def _walk(text: str, is_word, max_len: int) -> list[str]:

@@ -84,9 +84,13 @@ def read_dir(spark: SparkSession, path: str, ext: str = ".csv", sep: str = ",",
     is one ``read.csv`` over its files, and the groups are unioned by name, so a
     file with the same columns in another order is not mis-assigned.
     """
+    from concurrent.futures import ThreadPoolExecutor
+    files = _fs_list(spark, path, ext)
+    with ThreadPoolExecutor(max_workers=32) as pool:  # one short read per file, I/O bound
+        heads = list(pool.map(lambda f: _first_line(spark, f), files))
     groups: dict[str, list[str]] = {}
-    for f in _fs_list(spark, path, ext):
-        groups.setdefault(_first_line(spark, f), []).append(f)
+    for f, h in zip(files, heads):
+        groups.setdefault(h, []).append(f)
     out = None
     for _, files in sorted(groups.items()):
         d = read_delimited(spark, files, sep=sep, header=True, schema=None)
