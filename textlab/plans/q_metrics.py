@@ -13,6 +13,27 @@ SQL_PREDS = """(select vec_id as id, label::INTEGER as y_true,
   (list_position(embedding[1:10], list_max(embedding[1:10])) - 1)::INTEGER as y_pred from embeddings)"""
 SQL_ML = """(select vec_id as id, list_transform(embedding[9:16], lambda x: (x::DOUBLE > 0)::INTEGER) as y_true,
   list_transform(embedding[1:8], lambda x: (1.0 / (1.0 + exp(-x::DOUBLE)) >= 0.5)::INTEGER) as y_pred from embeddings)"""
+def sql_pc(preds: str) -> str:
+    """Per-class tp / predicted / support / precision / recall / f1 over a predictions subquery."""
+    return f"""(with c as (select y_true, y_pred, count(*) as n from {preds} group by all),
+  r as (select y_true as label, case when y_true = y_pred then n else 0 end as tp, 0 as pred, n as sup from c
+        union all select y_pred, 0, n, 0 from c),
+  pc as (select label, sum(tp) as tp, sum(pred) as predicted, sum(sup) as support from r group by label),
+  s as (select *, case when predicted = 0 then 0.0 else tp / predicted end as precision,
+               case when support = 0 then 0.0 else tp / support end as recall from pc)
+  select *, case when precision + recall = 0 then 0.0 else 2 * precision * recall / (precision + recall) end as f1 from s)"""
+
+
+def sql_report(preds: str) -> str:
+    pc = sql_pc(preds)
+    return f"""select label::VARCHAR as label, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1,
+    support::BIGINT as support from {pc}
+  union all select 'accuracy', round(sum(tp) / sum(support), 6), round(sum(tp) / sum(support), 6), round(sum(tp) / sum(support), 6), sum(support)::BIGINT from {pc}
+  union all select 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support)::BIGINT from {pc}
+  union all select 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+    round(sum(f1 * support) / sum(support), 6), sum(support)::BIGINT from {pc}"""
+
+
 SQL_PC = f"""(with c as (select y_true, y_pred, count(*) as n from {SQL_PREDS} group by all),
   r as (select y_true as label, case when y_true = y_pred then n else 0 end as tp, 0 as pred, n as sup from c
         union all select y_pred, 0, n, 0 from c),
