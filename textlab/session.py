@@ -83,8 +83,11 @@ def ship_package(spark: SparkSession) -> None:
     The zip is built next to the shared checkpoint folder when that is a local
     path, else in a driver temp file that Spark's file server distributes.
     """
-    sc = spark.sparkContext
-    app = sc.applicationId
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # Spark Connect: the package must be installed on the cluster
+        return
     if app in _SHIPPED:
         return
     import zipfile

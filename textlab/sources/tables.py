@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 def read_table(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
     df = spark.read.parquet(path)
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
+    try:
+        want = min_partitions or spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD API (e.g. a Spark Connect session): read as is
+        return df
     return df.repartition(want) if have < want else df
