@@ -55,6 +55,14 @@ def test_full_shot_sizes(spark):
     assert s.count() == 100
 
 
+def test_tiny_classes_kept_in_train_and_flagged(spark, classes):
+    tiny = spark.createDataFrame([(10_000, 9), (10_001, 9), (10_002, 8)], "id long, label int")
+    s = sp.split_kshot(classes.unionByName(tiny), "label", "id", 5)
+    rep = {r["split"]: r for r in sp.split_report(s).collect()}
+    assert rep["train"]["tiny_classes"] == 2 and rep["valid"]["tiny_classes"] == 0
+    assert sizes(s)[9] == (2, 0, 0) and sizes(s)[8] == (1, 0, 0)
+
+
 def test_ratios_checked(classes):
     with pytest.raises(ValueError):
         sp.split_kshot(classes, "label", "id", 5, ratios=(0.8, 0.2, 0.1))

@@ -226,9 +226,14 @@ def sample_fraction(df: DataFrame, id_col: str, p: float, seed: int = 101) -> Da
     return df.where(u < F.lit(int(p * 4294967296)))
 
 
-def split_report(df: DataFrame, label: str = "label") -> DataFrame:
-    """Rows and classes per split."""
-    return df.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(label).alias("classes"))
+def split_report(df: DataFrame, label: str = "label", tiny_max: int = 2) -> DataFrame:
+    """Rows and classes per split, plus ``tiny_classes``: classes of at most
+    ``tiny_max`` rows in all, which a K-shot split keeps whole in train (X6)."""
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_f"))
+    d = df.join(sizes, label)  # one row per class on the right: broadcast by AQE when small
+    return d.groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct(label).alias("classes"),
+        F.count_distinct(F.when(F.col("_f") <= tiny_max, F.col(label))).alias("tiny_classes"))
 
 
 def split_label_counts(df: DataFrame, label: str = "label", splits=SPLITS) -> DataFrame:

@@ -111,7 +111,9 @@ def q_x8(spark, d):
 SQL_X2 = sql_kshot(SQL_LABELLED.replace("d.text, ", ""), 100)
 
 
-@register("X6", f"select split, count(*)::BIGINT as rows, count(distinct label)::BIGINT as classes from {SQL_X2} group by split")
+@register("X6", f"""select split, count(*)::BIGINT as rows, count(distinct label)::BIGINT as classes,
+  count(distinct case when f <= 2 then label end)::BIGINT as tiny_classes
+  from {SQL_X2} join (select label, count(*) as f from {SQL_X2} group by label) using (label) group by split""")
 def q_x6(spark, d):
     return sp.split_report(_kshot(spark, d))
 
