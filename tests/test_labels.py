@@ -1,6 +1,5 @@
 """Label cleaning operators."""
 
-from pyspark.sql import functions as F
 
 from textlab.operators import labels as lb
 from textlab.operators.select import strip_spans

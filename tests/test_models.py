@@ -1,9 +1,7 @@
 """Baselines and model selection against brute force."""
 
-import itertools
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from textlab.operators import models as mo

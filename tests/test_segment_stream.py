@@ -1,6 +1,5 @@
 """Dictionary segmentation (both plans) and the streaming word count."""
 
-from pyspark.sql import functions as F
 
 from textlab.operators.freq import word_freq
 from textlab.operators.segment import segment
