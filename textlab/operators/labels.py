@@ -131,8 +131,18 @@ def primary_label(long_labels: DataFrame, row_id: str, rank: DataFrame, label: s
 
 
 def label_map(labels: DataFrame, label: str = "label") -> DataFrame:
-    """Deterministic label <-> id map, ids 0..C-1 in label order (L4, W4) -> ``(label, id)``."""
+    """Deterministic label <-> id map, ids 0..C-1 in label order (L4, W4) -> ``(label, id)``.
+
+    Numeric labels are ranked with the bucketed prefix of ``value_ranks`` (no
+    single-task window, whatever the number of classes); other labels with one
+    window over the distinct labels.
+    """
+    from pyspark.sql.types import NumericType
+
     d = labels.select(F.col(label).alias("label")).where(F.col("label").isNotNull()).distinct()
+    if isinstance(d.schema["label"].dataType, NumericType):
+        from textlab.operators.ranks import value_ranks
+        return value_ranks(d, "label").select("label", F.col("before").cast("int").alias("id"))
     return d.withColumn("id", (F.row_number().over(Window.orderBy("label")) - 1).cast("int"))
 
 
