@@ -57,12 +57,14 @@ def segment(df: DataFrame, text: str, dictionary: DataFrame, out: str = "tokens"
         return df.withColumn(out, seg(F.col(text)))
     if id_col is None:
         raise ValueError("a dictionary this large needs id_col for the join plan")
+    # candidates only at the word lengths the dictionary has (at most max_len values)
+    lengths = sorted(int(r["L"]) for r in words.select(F.length("w").alias("L")).distinct().collect())
     # characters as an array: slicing it is positional, while substring at a
     # moving offset would re-walk the UTF-8 text for every candidate
     cand = (df.select(id_col, F.col(text).alias("_t")).where(F.length("_t") > 0)
               .select(id_col, F.regexp_extract_all("_t", F.lit("(?s)(.)"), 1).alias("_ch"))
               .select(id_col, "_ch", F.explode(F.sequence(F.lit(0), F.size("_ch") - 1)).alias("_i"))
-              .select(id_col, "_i", F.explode(F.sequence(F.lit(1), F.lit(max_len))).alias("_L"), "_ch")
+              .select(id_col, "_i", F.explode(F.array(*[F.lit(x) for x in lengths])).alias("_L"), "_ch")
               .where(F.col("_i") + F.col("_L") <= F.size("_ch"))
               .select(id_col, "_i", "_L", F.array_join(F.slice("_ch", F.col("_i") + 1, F.col("_L")), "").alias("w")))
     hits = cand.join(words, "w", "left_semi").groupBy(id_col).agg(
