@@ -118,10 +118,18 @@ def latest_per_key(df: DataFrame, key: str, order: str, tie: str | None = None)
 
 
 def label_rank(long_labels: DataFrame, label: str = "label") -> DataFrame:
-    """Labels ranked by frequency, 0 = most frequent, ties by label (W2) -> ``(label, n, rank)``."""
+    """Labels ranked by frequency, 0 = most frequent, ties by label (W2) -> ``(label, n, rank)``.
+
+    rank = (# labels with a larger count, a bucketed prefix) + position among
+    the labels with the same count (a window partitioned by that count).
+    """
+    from textlab.operators.ranks import value_ranks
     cnt = long_labels.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("n"), F.asc(label))  # one row per class
-    return cnt.withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
+    larger = value_ranks(cnt.select(F.negative("n").alias("_neg")), "_neg").select(
+        F.negative("_neg").alias("n"), F.col("before").alias("_larger"))
+    w = Window.partitionBy("n").orderBy(F.asc(label))
+    return (cnt.join(larger, "n").withColumn("rank", (F.col("_larger") + F.row_number().over(w) - 1).cast("int"))
+               .select(label, "n", "rank"))
 
 
 def primary_label(long_labels: DataFrame, row_id: str, rank: DataFrame, label: str = "label") -> DataFrame:
