@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlab.llm import common as C
+from textlab.llm.bbit_minhash import near_duplicates
 from textlab.llm.quality_rules import apply_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +55,19 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The threshold table over every whole text."""
     return apply_rules(C.documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@register("op8_bbit_minhash", r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i:i + least(4, len(ws)) - 1], ' ') as g
+  from (select doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 3, least(len(ws), 1)))) as i from w)),
+n as materialized (select doc_id, count(*)::BIGINT as n from s group by doc_id),
+l as materialized (select p.a, p.b from (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y using (g) where x.doc_id != y.doc_id group by all) p
+  join n na on na.doc_id = p.a join n nb on nb.doc_id = p.b where 100 * c >= 80 * (na.n + nb.n - c)),
+reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join l on l.a = r.b),
+c as (select a, min(b) as component_id from reach group by a)
+select d.doc_id, coalesce(n.n, 0)::BIGINT as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+from documents d join c on c.a = d.doc_id left join n using (doc_id)""")
+def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents on 4-word shingles at similarity 0.8."""
+    return near_duplicates(C.documents(spark, sf_dir), k=4, threshold=80)
