@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from textlab.llm import common as C
 from textlab.llm.bbit_minhash import near_duplicates
+from textlab.llm.language_mix import identify, learn
+from textlab.llm.mixing import mix
 from textlab.llm.quality_rules import apply_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +73,19 @@ from documents d join c on c.a = d.doc_id left join n using (doc_id)""")
 def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on 4-word shingles at similarity 0.8."""
     return near_duplicates(C.documents(spark, sf_dir), k=4, threshold=80)
+
+
+@register("op10_language_mix")
+def op10_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from the documents outside the held-out fold."""
+    docs = C.documents(spark, sf_dir)
+    model = learn(docs.where(C.fold("doc_id", 3) != 1))
+    return identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", (C.fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@register("op4_source_mix")
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the sources' target weights."""
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
+    return mix(C.documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
