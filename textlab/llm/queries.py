@@ -14,6 +14,8 @@ from textlab.llm import common as C
 from textlab.llm.bbit_minhash import near_duplicates
 from textlab.llm.language_mix import identify, learn
 from textlab.llm.mixing import mix
+from textlab.llm.packing import pack
+from textlab.llm.quality_mil import fit, score
 from textlab.llm.quality_rules import apply_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +91,20 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the sources' target weights."""
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
     return mix(C.documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+
+
+@register("op5_best_fit_packing")
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces packed into sequences of 4096."""
+    import public_tokenizers
+
+    return pack(C.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op1_quality_mil")
+def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text, learned from the labels outside the held-out fold."""
+    docs = C.documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(C.fold("doc_id", 5) != 0)
+    scored = score(docs, fit(docs, labels))
+    return scored.select("doc_id", (C.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
