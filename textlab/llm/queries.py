@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from textlab.llm import common as C
 from textlab.llm.bbit_minhash import near_duplicates
+from textlab.llm.embedding_range import range_join
 from textlab.llm.language_mix import identify, learn
 from textlab.llm.mixing import mix
 from textlab.llm.packing import pack
 from textlab.llm.quality_mil import fit, score
 from textlab.llm.quality_rules import apply_rules
+from textlab.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -108,3 +110,20 @@ def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(C.fold("doc_id", 5) != 0)
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", (C.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register("op3_embedding_range", """
+with recursive v as materialized (select vec_id, embedding::DOUBLE[] as e from embeddings),
+n as materialized (select vec_id, e, sqrt(list_dot_product(e, e)) as norm from v
+  where e is not null and len(e) > 0 and len([x for x in e if x is null or not isfinite(x)]) = 0),
+l as materialized (select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id != b.vec_id and len(a.e) = len(b.e)
+  where a.norm > 0 and b.norm > 0 and list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join l on l.a = r.b),
+c as (select a, min(b) as component_id from reach group by a),
+k as (select a, count(*)::BIGINT as n_links from l group by a)
+select d.vec_id, coalesce(k.n_links, 0)::BIGINT as n_links, c.component_id, d.vec_id = c.component_id as kept
+from embeddings d join c on c.a = d.vec_id left join k on k.a = d.vec_id""")
+def op3_embedding_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all embeddings at cosine 0.95."""
+    ship_package(spark)
+    return range_join(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.95)
