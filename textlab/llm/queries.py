@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textlab.llm import class_lm
 from textlab.llm import common as C
 from textlab.llm.bbit_minhash import near_duplicates
 from textlab.llm.embedding_range import range_join
@@ -127,3 +128,9 @@ def op3_embedding_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all embeddings at cosine 0.95."""
     ship_package(spark)
     return range_join(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.95)
+
+
+@register("op7_class_lm")
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-bigram scores of all whole texts, learned outside the held-out fold."""
+    return class_lm.score(C.documents(spark, sf_dir), C.fold("doc_id", 7) == 2)
