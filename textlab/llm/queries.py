@@ -19,6 +19,7 @@ from textlab.llm.mixing import mix
 from textlab.llm.packing import pack
 from textlab.llm.quality_mil import fit, score
 from textlab.llm.quality_rules import apply_rules
+from textlab.llm.repeat_removal import remove_repeats
 from textlab.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +135,9 @@ def op3_embedding_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class-bigram scores of all whole texts, learned outside the held-out fold."""
     return class_lm.score(C.documents(spark, sf_dir), C.fold("doc_id", 7) == 2)
+
+
+@register("op6_repeat_removal")
+def op6_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text without the bytes of 100-byte strings that start earlier."""
+    return remove_repeats(C.documents(spark, sf_dir))
