@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlab.llm.common import WordHash, byte_rows, chunk_docs, components
+from textlab.llm.common import WordHash, byte_rows, chunk_docs, components, discard
 from textlab.session import materialize
 
 BANDS, ROWS = 28, 4
@@ -214,7 +214,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
             .join(classes.select(F.col("id").alias("dst"), F.col("sig").alias("sb")), "dst")
             .where(estimate(F.col("sa"), F.col("sb")) >= floor).select("src", "dst"))
     star = materialize(star, "candidates")
-    links = materialize(_confirm(star, _texts_of(docs, star), k, threshold), "links")
+    texts = _texts_of(docs, star)
+    links = materialize(_confirm(star, texts, k, threshold), "links")
+    discard(texts)
     groups = materialize(components(links), "groups")
 
     # buckets that still hold several components

@@ -60,6 +60,15 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete written intermediates that nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        for f in {p.rsplit("/", 1)[0] for p in t.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(src long, dst long)``: ``(node, component)``, the component being its smallest node.
 
@@ -79,10 +88,12 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
         large = (both.where(F.col("v") > F.col("u")).join(low, "u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
         large = materialize(large, name)
+        last = cur
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         cur = materialize(small, name)
+        discard(last, large)
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -168,25 +168,26 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mixture itself, with the columns of ``docs``: one row per copy, by shard and shuffled inside it.
 
-    A copy cut at its source's target keeps its first words.  Documents taken 0 words are left out."""
-    names = docs.columns
-    copies = mix(docs, text_col=text_col, id_col=id_col, **options).select(
-        F.col(f"`{id_col}`").alias("__id"), F.col("size").alias("__size"), F.explode("copies").alias("__c"))
-    size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`").cast("string"), F.lit(WORD_RE)), F.lit(0))
-    joined = docs.withColumn("__n", size).join(copies.dropDuplicates(["__id", "__size", "__c"]), F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
-    cut = F.regexp_extract(F.col(f"`{text_col}`"), "", 0)
-    del cut
-    part = F.array_join(F.slice(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(f"({WORD_RE})"), F.lit(1)), F.lit(1), F.col("__c.words").cast("int")), " ")
-    text = F.when(F.col("__c.words") < F.col("__n"), part).otherwise(F.col(f"`{text_col}`"))
-    out = joined.withColumn("__t", text)
+    The copy cut at its source's target keeps its first words, joined by spaces; a column ``n_chars`` follows the text.
+    Documents taken 0 words are left out.  Rows that repeat an id at the same size take the copies of one of them."""
+    copies = (mix(docs, text_col=text_col, id_col=id_col, **options)
+              .select(F.col(f"`{id_col}`").alias("__id"), F.col("size").alias("__size"), F.explode("copies").alias("__c"))
+              .select("__id", "__size", "__c.*").dropDuplicates(["__id", "__size", "epoch"])
+              .select("__id", "__size", F.struct("words", "shard", "place", "epoch").alias("__c")))
+    text = F.col(f"`{text_col}`")
+    size = F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD_RE)), F.lit(0)).cast("long")
+    joined = docs.withColumn("__n", size).join(copies, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
+    cut = F.col("__c.words") < F.col("__n")
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD_RE})"), F.lit(1)), F.lit(1), F.col("__c.words").cast("int")), " ")
+    joined = joined.withColumn("__text", F.when(cut, first).otherwise(text))
     cols = []
-    for c in names:
+    for c in docs.columns:
         if c == text_col:
-            cols.append(F.col("__t").alias(c))
+            cols.append(F.col("__text").alias(c))
         elif c == "n_chars":
-            cols.append(F.when(F.col("__c.words") < F.col("__n"), F.length("__t")).otherwise(F.col("n_chars")).cast(docs.schema[c].dataType).alias(c))
+            cols.append(F.when(cut, F.length("__text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
         else:
             cols.append(F.col(f"`{c}`"))
-    # a shard is written by one task, in its own order
-    return (out.repartitionByRange(F.col("__c.shard"), F.col("__c.place"))
-            .sortWithinPartitions(F.col("__c.shard"), F.col("__c.place")).select(*cols))
+    # ranges of (shard, place): each written part holds whole stretches of shards, in their shuffled order
+    order = [F.col("__c.shard"), F.col("__c.place"), F.col("__c.epoch")]
+    return joined.repartitionByRange(*order).sortWithinPartitions(*order).select(*cols)

@@ -20,6 +20,7 @@ from textlab.llm.packing import pack
 from textlab.llm.quality_mil import fit, score
 from textlab.llm.quality_rules import apply_rules
 from textlab.llm.repeat_removal import remove_repeats
+from textlab.llm.secret_forest import scan
 from textlab.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +142,9 @@ def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text without the bytes of 100-byte strings that start earlier."""
     return remove_repeats(C.documents(spark, sf_dir))
+
+
+@register("op2_secret_forest")
+def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in all whole texts with the forest's verdict; the value itself is not returned."""
+    return scan(C.documents(spark, sf_dir)).select("doc_id", "ordinal", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
