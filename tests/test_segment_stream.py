@@ -1,4 +1,4 @@
-"""Dictionary segmentation (both plans) and the streaming word count."""
+"""Dictionary segmentation and the streaming word count."""
 
 
 from textlab.operators.freq import word_freq
@@ -10,12 +10,16 @@ from textlab.streaming.word_count import run_to_table, stream_word_freq
 from conftest import SF001
 
 
-def test_greedy_longest_match_both_plans(spark):
-    df = spark.createDataFrame([(1, "thecatsat"), (2, "xcat")], "id int, text string")
-    d = spark.createDataFrame([(w,) for w in ["the", "cat", "ca", "sat", "t"]], "w string")
-    a = {r["id"]: r["tokens"] for r in segment(df, "text", d, id_col="id").collect()}
-    b = {r["id"]: r["tokens"] for r in segment(df, "text", d, id_col="id", max_broadcast=0).collect()}
-    assert a == b == {1: ["the", "cat", "sat"], 2: ["x", "cat"]}
+def test_greedy_longest_match_any_dictionary(spark):
+    df = spark.createDataFrame([(1, "thecatsat"), (2, "xcat"), (1, "w1x"), (1, "xw1"), (3, None), (4, ""), (2, "xcat")], "id int, text string")
+    d = spark.createDataFrame([(w,) for w in ["the", "cat", "ca", "sat", "t", "w1", None, ""]], "w string")
+    got = sorted(((r["id"], r["text"], r["tokens"]) for r in segment(df, "text", d).collect()), key=str)
+    assert got == sorted([(1, "thecatsat", ["the", "cat", "sat"]), (2, "xcat", ["x", "cat"]), (2, "xcat", ["x", "cat"]), (1, "w1x", ["w1", "x"]),
+                          (1, "xw1", ["x", "w1"]), (3, None, None), (4, "", [])], key=str)
+    none = segment(df, "text", d.where("false")).where("id = 2").first()
+    assert none["tokens"] == ["x", "c", "a", "t"]
+    many = d.unionByName(spark.range(3000).selectExpr("concat('zz', id) as w"))  # more words, same tokens
+    assert sorted(((r["id"], r["text"], r["tokens"]) for r in segment(df, "text", many).collect()), key=str) == got
 
 
 def test_stream_count_equals_batch(spark):

@@ -5,82 +5,54 @@ left to right against a caller's word table; a character that starts no
 dictionary word becomes a one-character token.  Counting the tokens stays in
 Spark (``word_freq`` with ``tokenizer=``).
 
-Two plans, chosen by the dictionary's size (a checked count):
-
-* small dictionary (<= ``max_broadcast`` words, about 30 MB as a Python set):
-  the word set travels once per executor as a broadcast variable; an Arrow UDF
-  walks each text.
-* larger dictionary: every (position, length) candidate substring is
-  semi-joined to the dictionary in Spark, and the same greedy walk runs over
-  each text's matched spans only.
+One plan for a dictionary of any size: every (position, length) candidate
+substring of a distinct text, at the word lengths the dictionary has, is
+semi-joined to the dictionary, and the greedy walk runs over each text's matched
+spans.  Spans are keyed by the text's digest, so repeated texts are segmented
+once and no id column is needed.
+
+Cases: a null text gives null tokens, an empty text no tokens, an empty or null
+dictionary one-character tokens.  Repeated rows each get their tokens.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_BROADCAST = 500_000
-
 
-def _walk(text: str, is_word, max_len: int) -> list[str]:
-    out, i, n = [], 0, len(text)
-    while i < n:
-        for L in range(min(max_len, n - i), 0, -1):
-            if is_word(i, L):
-                out.append(text[i:i + L])
-                i += L
-                break
-        else:
-            out.append(text[i])
-            i += 1
+def _walk(text: str, ends: dict[int, int]) -> list[str]:
+    out, i = [], 0
+    while i < len(text):
+        step = ends.get(i, 1)
+        out.append(text[i:i + step])
+        i += step
     return out
 
 
-def segment(df: DataFrame, text: str, dictionary: DataFrame, out: str = "tokens", id_col: str | None = None,
-            max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def segment(df: DataFrame, text: str, dictionary: DataFrame, out: str = "tokens") -> DataFrame:
     """Add ``out`` ARRAY<STRING>: the greedy longest-match segmentation of ``text``."""
     words = dictionary.select(F.col(dictionary.columns[0]).alias("w")).where(F.length("w") > 0).distinct()
-    stats = words.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("w")).alias("m")).first()
-    n_words, max_len = int(stats["n"]), int(stats["m"] or 1)
-    if n_words <= max_broadcast:
-        wset = frozenset(r["w"] for r in words.toLocalIterator())
-        bc = df.sparkSession.sparkContext.broadcast(wset)
-
-        @F.pandas_udf(T.ArrayType(T.StringType()))
-        def seg(texts: pd.Series) -> pd.Series:
-            ws = bc.value
-            return pd.Series([None if t is None else _walk(t, lambda i, L, t=t: t[i:i + L] in ws, max_len) for t in texts])
-
-        return df.withColumn(out, seg(F.col(text)))
-    if id_col is None:
-        raise ValueError("a dictionary this large needs id_col for the join plan")
-    # candidates only at the word lengths the dictionary has (at most max_len values)
+    # the dictionary's word lengths: at most as many rows as its longest word has characters
     lengths = sorted(int(r["L"]) for r in words.select(F.length("w").alias("L")).distinct().collect())
+    key = F.sha2(F.col(text), 256)
     # characters as an array: slicing it is positional, while substring at a
     # moving offset would re-walk the UTF-8 text for every candidate
-    cand = (df.select(id_col, F.col(text).alias("_t")).where(F.length("_t") > 0)
-              .select(id_col, F.regexp_extract_all("_t", F.lit("(?s)(.)"), 1).alias("_ch"))
-              .select(id_col, "_ch", F.explode(F.sequence(F.lit(0), F.size("_ch") - 1)).alias("_i"))
-              .select(id_col, "_i", F.explode(F.array(*[F.lit(x) for x in lengths])).alias("_L"), "_ch")
+    cand = (df.select(key.alias("_k"), F.col(text).alias("_t")).where(F.length("_t") > 0).dropDuplicates(["_k"])
+              .select("_k", F.regexp_extract_all("_t", F.lit("(?s)(.)"), 1).alias("_ch"))
+              .select("_k", "_ch", F.explode(F.sequence(F.lit(0), F.size("_ch") - 1)).alias("_i"))
+              .select("_k", "_i", F.explode(F.array(*[F.lit(x) for x in lengths]).cast("array<int>")).alias("_L"), "_ch")
               .where(F.col("_i") + F.col("_L") <= F.size("_ch"))
-              .select(id_col, "_i", "_L", F.array_join(F.slice("_ch", F.col("_i") + 1, F.col("_L")), "").alias("w")))
-    hits = cand.join(words, "w", "left_semi").groupBy(id_col).agg(
-        F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_L").alias("L"))).alias("_spans"))
+              .select("_k", "_i", "_L", F.array_join(F.slice("_ch", F.col("_i") + 1, F.col("_L")), "").alias("w")))
+    longest = cand.join(words, "w", "left_semi").groupBy("_k", "_i").agg(F.max("_L").alias("_L"))
+    hits = longest.groupBy("_k").agg(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_L").alias("L"))).alias("_spans"))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def walk_spans(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        res = []
-        for t, sp in zip(texts, spans):
-            s = set() if sp is None else {(int(x["i"]), int(x["L"])) for x in sp}
-            res.append(None if t is None else _walk(t, lambda i, L: (i, L) in s, max_len))
-        return pd.Series(res)
-
-    return df.join(hits, id_col, "left").withColumn(out, walk_spans(F.col(text), F.col("_spans"))).drop("_spans")
-
+        return pd.Series([None if t is None else _walk(t, {int(x["i"]): int(x["L"]) for x in (() if sp is None else sp)})
+                          for t, sp in zip(texts, spans)])
 
-def dictionary_tokenizer(tokens_col: Column) -> Column:
-    """Use a pre-segmented token column as ``word_freq``'s tokenizer."""
-    return tokens_col
+    return (df.withColumn("_k", key).join(hits, "_k", "left").withColumn(out, walk_spans(F.col(text), F.col("_spans")))
+            .drop("_spans", "_k"))

@@ -169,12 +169,15 @@ def q_a11(spark, d):
     return st.select("n_train", "n_valid", "n_test", "n_classes", r6("avg_tokens").alias("avg_tokens"), r6("avg_chars").alias("avg_chars"))
 
 
-@register("K2")  # greedy longest-match segmentation of unspaced text (rows-only check; exact check in tests)
+@register("K2", r"""with d as (select distinct unnest(regexp_extract_all(lower(text), '{WORD}')) as w from benchmark),
+  p as (select '(?s)(?:' || string_agg(w, '|' order by length(w) desc, w) || '|.)' as re from d)
+  select w as word, count(*)::BIGINT as frequency from (select unnest(regexp_extract_all(regexp_replace(lower(text), '\s+', '', 'g'), p.re)) as w
+    from documents, p) group by w""".replace("{WORD}", WORD_RE))  # alternatives by length: the first that matches is the longest
 def q_k2(spark, d):
     docs = fx.table(spark, d, "documents").select("doc_id", F.regexp_replace(F.lower("text"), r"\s+", "").alias("text"))
     bench = fx.table(spark, d, "benchmark")
     dictionary = bench.select(F.explode(tokens("text", WORD_PATTERN, lower=True)).alias("w")).distinct()
-    seg = segment(docs, "text", dictionary, "tokens", id_col="doc_id")
+    seg = segment(docs, "text", dictionary, "tokens")
     return word_freq(seg, "tokens", remove_stop_words=False, tokenizer=lambda c: c)
 
 
