@@ -7,9 +7,11 @@ work is always an aggregate with map-side combine or a join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlab.operators.ranks import ordered_positions
+
 
 # ---------------------------------------------------------------- counting (A4-A10)
 
@@ -104,32 +106,31 @@ def singletons(df: DataFrame, label: str = "label", keep: bool = True) -> DataFr
 # ---------------------------------------------------------------- windows
 
 def latest_per_key(df: DataFrame, key: str, order: str, tie: str | None = None) -> DataFrame:
-    """The row with the largest ``order`` per ``key``; ties -> smallest ``tie``.
+    """The row with the largest ``order`` (a number, date, timestamp or text) per
+    ``key``; ties -> smallest ``tie`` (W1).
 
-    A ``min_by`` aggregate instead of a window: partial aggregation keeps one
+    A ``max_by`` aggregate instead of a window: partial aggregation keeps one
     candidate per key per task, so a key holding a third of the rows is not
     sorted in one task.  Null keys and null orders are skipped.
     """
-    cols = df.columns
-    pick = F.struct(F.negative(F.col(order)).alias("o"), *([F.col(tie).alias("t")] if tie else []))
-    best = (df.where(F.col(key).isNotNull() & F.col(order).isNotNull())
-            .groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), pick).alias("_r")))
-    return best.select("_r.*")
+    row = F.struct(*[F.col(c) for c in df.columns])
+    kept = df.where(F.col(key).isNotNull() & F.col(order).isNotNull())
+    if tie is None:
+        return kept.groupBy(key).agg(F.max_by(row, F.col(order)).alias("_r")).select("_r.*")
+    # any orderable type: first the largest order per key, then the smallest tie among its rows
+    top = kept.groupBy(F.col(key).alias("_key")).agg(F.max(order).alias("_top"))
+    last = kept.join(top, (F.col(key) == F.col("_key")) & (F.col(order) == F.col("_top")))
+    return last.groupBy("_key").agg(F.min_by(row, F.col(tie)).alias("_r")).select("_r.*")
 
 
 def label_rank(long_labels: DataFrame, label: str = "label") -> DataFrame:
     """Labels ranked by frequency, 0 = most frequent, ties by label (W2) -> ``(label, n, rank)``.
 
-    rank = (# labels with a larger count, a bucketed prefix) + position among
-    the labels with the same count (a window partitioned by that count).
+    Ranges of (count, label) are ranked apart, so many labels of one count are
+    spread over tasks too.
     """
-    from textlab.operators.ranks import value_ranks
     cnt = long_labels.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    larger = value_ranks(cnt.select(F.negative("n").alias("_neg")), "_neg").select(
-        F.negative("_neg").alias("n"), F.col("before").alias("_larger"))
-    w = Window.partitionBy("n").orderBy(F.asc(label))
-    return (cnt.join(larger, "n").withColumn("rank", (F.col("_larger") + F.row_number().over(w) - 1).cast("int"))
-               .select(label, "n", "rank"))
+    return ordered_positions(cnt, [F.desc("n"), F.asc(label)], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def primary_label(long_labels: DataFrame, row_id: str, rank: DataFrame, label: str = "label") -> DataFrame:
@@ -141,17 +142,10 @@ def primary_label(long_labels: DataFrame, row_id: str, rank: DataFrame, label: s
 def label_map(labels: DataFrame, label: str = "label") -> DataFrame:
     """Deterministic label <-> id map, ids 0..C-1 in label order (L4, W4) -> ``(label, id)``.
 
-    Numeric labels are ranked with the bucketed prefix of ``value_ranks`` (no
-    single-task window, whatever the number of classes); other labels with one
-    window over the distinct labels.
+    Ranges of labels are numbered apart, whatever the labels' type and number.
     """
-    from pyspark.sql.types import NumericType
-
     d = labels.select(F.col(label).alias("label")).where(F.col("label").isNotNull()).distinct()
-    if isinstance(d.schema["label"].dataType, NumericType):
-        from textlab.operators.ranks import value_ranks
-        return value_ranks(d, "label").select("label", F.col("before").cast("int").alias("id"))
-    return d.withColumn("id", (F.row_number().over(Window.orderBy("label")) - 1).cast("int"))
+    return ordered_positions(d, [F.asc("label")], "id").withColumn("id", F.col("id").cast("int"))
 
 
 def encode_label(df: DataFrame, mapping: DataFrame, col: str = "label", out: str = "label_id") -> DataFrame:

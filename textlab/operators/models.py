@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textlab.functions.arrays import argmax, attention_mask, truncate_pad
 from textlab.functions.text import WORD_PATTERN, tokens
-from textlab.operators.ranks import grouped_prefix, monotone_bucket
+from textlab.operators.ranks import grouped_prefix, range_bucketed
 
 
 # ---------------------------------------------------------------- baselines (M5, M6)
@@ -66,6 +66,13 @@ def best_trial(trials: DataFrame, metric: str = "metric", mode: str = "max", tri
     return out.select("_b.*")
 
 
+def _cost(col: str, direction: str) -> Column:
+    """The objective as a number to be small; NaN is worse than every number."""
+    v = F.col(col).cast("double")
+    v = v if direction == "min" else -v
+    return F.when(F.isnan(v), F.lit(float("inf"))).otherwise(v)
+
+
 def pareto_front(df: DataFrame, objectives: dict[str, str]) -> DataFrame:
     """Rows not dominated by any other row (M10), e.g.
     ``{'p_retailprice': 'min', 'p_size': 'max'}``; three or more objectives
@@ -79,11 +86,10 @@ def pareto_front(df: DataFrame, objectives: dict[str, str]) -> DataFrame:
     if len(objectives) != 2:
         return _pareto_front_blocked(df, objectives)
     (a, da), (b, db) = objectives.items()
-    ka = F.col(a).cast("double") if da == "min" else -F.col(a).cast("double")   # smaller = better
-    kb = F.col(b).cast("double") if db == "max" else -F.col(b).cast("double")   # larger = better
+    ka, kb = _cost(a, da), -_cost(b, db)   # smaller = better, larger = better
     d = df.withColumn("_ka", ka).withColumn("_kb", kb).where(F.col("_ka").isNotNull() & F.col("_kb").isNotNull())
     per = d.groupBy("_ka").agg(F.max("_kb").alias("_best_here"))
-    per = grouped_prefix(per, [], ["_ka"], monotone_bucket(F.col("_ka")), F.col("_best_here"), "max", False, "_best_before")
+    per = grouped_prefix(range_bucketed(per, [F.col("_ka")]), [], ["_ka"], F.col("_b"), F.col("_best_here"), "max", False, "_best_before").drop("_b")
     on = d.join(per, "_ka").where((F.col("_kb") == F.col("_best_here"))
                                   & (F.col("_best_before").isNull() | (F.col("_kb") > F.col("_best_before"))))
     return on.drop("_ka", "_kb", "_best_here", "_best_before")
@@ -119,7 +125,7 @@ def _pareto_front_blocked(df: DataFrame, objectives: dict[str, str], block_rows:
 
     from textlab.session import materialize
     names = list(objectives)
-    keys = [(F.col(c).cast("double") if d == "min" else -F.col(c).cast("double")).alias(f"_k{i}")
+    keys = [_cost(c, d).alias(f"_k{i}")
             for i, (c, d) in enumerate(objectives.items())]
     kcols = [f"_k{i}" for i in range(len(names))]
     d = df.withColumn("_rid", F.monotonically_increasing_id()).select("*", *keys).dropna(subset=kcols)

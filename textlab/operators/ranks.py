@@ -1,9 +1,9 @@
 """Ordered ranks and prefix sums without a single-task global window.
 
 A ``Window.orderBy`` with no ``partitionBy`` runs in one task.  These helpers
-first count rows per *monotone bucket* of the order key (a bucket table of a
-size fixed by construction), take the prefix over that tiny table, and finish
-with windows partitioned by bucket, so the work stays spread over many tasks.
+cut the order into ranges of about equal size (range partitioning), take the
+prefix over the small table of ranges, and finish with windows partitioned by
+range, so the work stays spread over many tasks.
 """
 
 from __future__ import annotations
@@ -11,24 +11,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# 16 buckets per doubling of |v|: bucket count is bounded (about 2 * 16 * 1025
-# for any double), and a bucket holding many distinct values needs many rows
-# of large value, so no bucket grows with the data faster than sqrt(total).
-_PER_OCTAVE = 16
+from textlab.session import materialize
 
+#: Ranges that an ordering is cut into, at least; the cuts follow the data.
+MIN_RANGES = 64
 
-def monotone_bucket(v: Column) -> Column:
-    """A BIGINT that never decreases as ``v`` increases (sign-aware log scale)."""
-    d = v.cast("double")
-    mag = F.floor(F.log2(F.abs(d) + F.lit(1.0)) * F.lit(_PER_OCTAVE))
-    return (F.signum(d) * mag).cast("bigint")
+
+def range_bucketed(df: DataFrame, order: list[Column], out: str = "_b") -> DataFrame:
+    """``df`` range-partitioned by ``order`` with the range's number, ascending in ``order``.
+
+    Cut points are sampled from the data, so ranges are about equal whatever the
+    values' scale.  The result is written once: the numbers stay the same for
+    every later read and after a lost executor.  NaN sorts after all numbers,
+    null first.
+    """
+    n = max(MIN_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return materialize(df.repartitionByRange(n, *order).withColumn(out, F.spark_partition_id()), "ranges")
+
+
+def ordered_positions(df: DataFrame, order: list[Column], out: str = "pos") -> DataFrame:
+    """``df`` with its 0-based position in ``order``: counts per range, their prefix, and a window per range."""
+    d = range_bucketed(df, order)
+    first = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(first), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
+    return d.join(F.broadcast(starts), "_b").withColumn(out, (F.col("_start") + inside).cast("bigint")).select(*df.columns, out)
 
 
 def value_ranks(df: DataFrame, value: str) -> DataFrame:
     """Distinct values of ``value`` with ``cnt`` and ``before`` (# rows with a smaller value)
-    and ``avg_rank`` (1-based average rank for ties, as in Spearman's rho)."""
+    and ``avg_rank`` (1-based average rank for ties, as in Spearman's rho).  Null is left
+    out; NaN is one value, larger than all numbers."""
     vc = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("cnt"))
-    vc = vc.withColumn("_b", monotone_bucket(F.col(value)))
+    vc = range_bucketed(vc, [F.col(value)])
     bt = vc.groupBy("_b").agg(F.sum("cnt").alias("_bcnt"))
     bt = bt.withColumn(
         "_bbefore",

@@ -13,11 +13,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlab.operators.ranks import ordered_positions
+
 HEX_DIGITS = 5
 _NO_BUCKET = (1 << 62)
 SPLITS = ("train", "valid", "test")
 
 
+def _same(left: DataFrame, right: DataFrame, cols: list[str], how: str) -> DataFrame:
+    """Equi-join in which a null key equals a null key (a missing label is a class of its own)."""
+    r = right.select(*[F.col(c).alias(f"__{c}") if c in cols else F.col(c) for c in right.columns])
+    cond = None
+    for c in cols:
+        one = F.col(c).eqNullSafe(F.col(f"__{c}"))
+        cond = one if cond is None else cond & one
+    out = left.join(r, cond, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"__{c}" for c in cols])
+
+
 def hash_key(id_col: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
 
@@ -47,7 +60,7 @@ def segment_by_cuts(df: DataFrame, group: list[str], id_col: str, seed: int, cut
     k = _keyed(df, id_col, seed)
     bc = _bucket_counts(k, group)
     if group:
-        bcc = bc.join(cuts.select(*group, "cuts"), group)
+        bcc = _same(bc, cuts.select(*group, "cuts"), group, "inner")
     else:  # one group: the cut positions are a handful of numbers
         bcc = bc.withColumn("cuts", _lit_longs(cuts))
     # the bucket holding each cut, and the cut's offset inside it
@@ -56,7 +69,7 @@ def segment_by_cuts(df: DataFrame, group: list[str], id_col: str, seed: int, cut
                .where((F.col("_before") <= F.col("_c")) & (F.col("_c") < F.col("_before") + F.col("_n"))))
     info = hits.groupBy(*group).agg(F.collect_list(F.struct(F.col("_bk").alias("b"), (F.col("_c") - F.col("_before")).alias("o"))).alias("_ci"))
     if group:
-        rows = k.join(info, group, "left")  # one row per group; broadcast by AQE when small
+        rows = _same(k, info, group, "left")  # one row per group; broadcast by AQE when small
     else:  # one (bucket, offset) pair per cut, fetched as a literal
         got = info.collect()
         pairs = [] if not got else sorted((int(x["b"]), int(x["o"])) for x in got[0]["_ci"])
@@ -110,7 +123,7 @@ def positions(df: DataFrame, id_col: str, seed: int = 101, group: list[str] | No
     k = _keyed(df, id_col, seed)
     bc = _bucket_counts(k, group).drop("_n")
     w = Window.partitionBy(*group, "_bk").orderBy("_h", id_col)
-    return (k.join(bc, [*group, "_bk"]).withColumn(out, (F.col("_before") + F.row_number().over(w) - 1).cast("bigint"))
+    return (_same(k, bc, [*group, "_bk"], "inner").withColumn(out, (F.col("_before") + F.row_number().over(w) - 1).cast("bigint"))
              .drop("_h", "_bk", "_before"))
 
 
@@ -166,16 +179,15 @@ def split_kshot(df: DataFrame, label: str, id_col: str, k: int, ratios=(0.8, 0.1
 def stratified_train_quota(counts: DataFrame, label: str, n_train: int, total: int) -> DataFrame:
     """Largest-remainder allocation of ``n_train`` rows over classes; ties by label.
 
-    ``total`` is the row count of ``counts``' classes.  The window runs over the
-    class table (one row per class).
+    ``total`` is the row count of ``counts``' classes.  Classes are ranked by ranges
+    of their remainder, not in one task.
     """
     cont = _r9(F.col("f").cast("double") * F.lit(int(n_train)) / F.lit(int(total)))
     c = counts.withColumn("_cont", cont).withColumn("_fl", F.floor("_cont"))
     floors = c.agg(F.sum("_fl").alias("s")).first()["s"] or 0
     need = int(n_train) - int(floors)
-    w = Window.orderBy(F.desc(F.col("_cont") - F.col("_fl")), F.asc(label))
-    c = c.withColumn("_rk", F.row_number().over(w))
-    return c.select(label, "f", (F.col("_fl") + F.when(F.col("_rk") <= need, 1).otherwise(0)).cast("bigint").alias("n_train"))
+    c = ordered_positions(c, [F.desc(F.col("_cont") - F.col("_fl")), F.asc(label)], "_rk")
+    return c.select(label, "f", (F.col("_fl") + F.when(F.col("_rk") < need, 1).otherwise(0)).cast("bigint").alias("n_train"))
 
 
 def split_full(df: DataFrame, label: str, id_col: str, ratios=(0.8, 0.1, 0.1), seed: int = 101) -> DataFrame:
@@ -186,7 +198,7 @@ def split_full(df: DataFrame, label: str, id_col: str, ratios=(0.8, 0.1, 0.1), s
     counts = _counts(df, label)
     single = counts.where(F.col("f") == 1).select(label)
     multi_counts = counts.where(F.col("f") > 1)
-    rest_df = df.join(single, label, "left_anti")
+    rest_df = _same(df, single, [label], "left_anti")
     n_prime = int(multi_counts.agg(F.sum("f").alias("n")).first()["n"] or 0)
     n_rest = _ceil9(n_prime * r)
     q = stratified_train_quota(multi_counts, label, n_prime - n_rest, n_prime)
@@ -196,7 +208,7 @@ def split_full(df: DataFrame, label: str, id_col: str, ratios=(0.8, 0.1, 0.1), s
     rest = first.where(F.col("_s1") == 1).drop("_s1")
     second = segment_by_cuts(rest, [], id_col, seed, [_ceil9(n_rest * (c / r))], "_s2")
     second = second.withColumn("split", F.when(F.col("_s2") == 0, "test").otherwise("valid")).drop("_s2")
-    singles = df.join(single, label, "left_semi").withColumn("split", F.lit("train"))
+    singles = _same(df, single, [label], "left_semi").withColumn("split", F.lit("train"))
     return train.unionByName(second).unionByName(singles)
 
 
@@ -207,10 +219,10 @@ def split_two(df: DataFrame, label: str, id_col: str, test: float = 0.1, seed: i
     multi_counts = counts.where(F.col("f") > 1)
     n_prime = int(multi_counts.agg(F.sum("f").alias("n")).first()["n"] or 0)
     q = stratified_train_quota(multi_counts, label, n_prime - _ceil9(n_prime * test), n_prime)
-    rest_df = df.join(single, label, "left_anti")
+    rest_df = _same(df, single, [label], "left_anti")
     seg = segment_by_cuts(rest_df, [label], id_col, seed, q.select(label, F.array("n_train").alias("cuts")))
     two = _assign(seg, ("train", "valid"))
-    return two.unionByName(df.join(single, label, "left_semi").withColumn("split", F.lit("train")))
+    return two.unionByName(_same(df, single, [label], "left_semi").withColumn("split", F.lit("train")))
 
 
 def split_random(df: DataFrame, id_col: str, test: float | int = 0.1, seed: int = 101) -> DataFrame:
@@ -230,10 +242,10 @@ def split_report(df: DataFrame, label: str = "label", tiny_max: int = 2) -> Data
     """Rows and classes per split, plus ``tiny_classes``: classes of at most
     ``tiny_max`` rows in all, which a K-shot split keeps whole in train (X6)."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_f"))
-    d = df.join(sizes, label)  # one row per class on the right: broadcast by AQE when small
+    d = _same(df, sizes, [label], "inner")  # one row per class on the right: broadcast by AQE when small
     return d.groupBy("split").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct(label).alias("classes"),
-        F.count_distinct(F.when(F.col("_f") <= tiny_max, F.col(label))).alias("tiny_classes"))
+        F.count(F.lit(1)).alias("rows"), F.count_distinct(F.struct(label)).alias("classes"),
+        F.count_distinct(F.when(F.col("_f") <= tiny_max, F.struct(label))).alias("tiny_classes"))
 
 
 def split_label_counts(df: DataFrame, label: str = "label", splits=SPLITS) -> DataFrame:
