@@ -13,7 +13,7 @@ CORPUS_TITLES = {
     "wangchanberta": "Corpora Used by WangChanBERTa",
     "wongnai": "Wongnai",
 }
-TRUE_WORDS = ("true", "t", "1", "yes", "y")
+TRUE_WORDS = ("true", "t", "yes", "y")
 
 
 def _col(c) -> Column:
@@ -35,5 +35,7 @@ def fixed6(x) -> Column:
 
 
 def parse_bool(x, extra_true=()) -> Column:
-    """``lower(x) in ('true', 't', '1', 'yes', 'y')``."""
+    """``lower(x) in ('true', 't', 'yes', 'y')`` (F10).  The text ``'1'`` is false, as in the
+    reference, which lists the number 1 and so never matches a text; pass it in
+    ``extra_true`` to accept it."""
     return F.lower(_col(x).cast("string")).isin(*TRUE_WORDS, *extra_true)

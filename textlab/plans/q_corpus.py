@@ -40,7 +40,7 @@ def q_a2(spark, d):
     docs = fx.table(spark, d, "documents")
     parts = [fq.word_freq(docs.where(F.col("source") == s), remove_stop_words=False, pattern=WORD_PATTERN, lower=True)
              for s in ("src0", "src1")]
-    rest = fq.word_freq(docs.where(~F.col("source").isin("src0", "src1")), remove_stop_words=False,
+    rest = fq.word_freq(docs.where(F.col("source").isNull() | ~F.col("source").isin("src0", "src1")), remove_stop_words=False,
                         pattern=WORD_PATTERN, lower=True)
     return fq.merge_freq(*parts, rest)
 

@@ -45,7 +45,7 @@ def q_s3(spark, d):
     base = scratch_path(spark, "s3")
     io.write_delimited(fx.corpus(spark, d, "a").select("doc_id", "text", "lang"), f"{base}/a")
     io.write_delimited(fx.corpus(spark, d, "b").select("lang", "doc_id", "text"), f"{base}/b")  # other column order
-    return io.read_dir(spark, base, ".csv", schema="doc_id bigint, text string, lang string")
+    return io.read_dir(spark, base, ".csv", schema="doc_id bigint, text string, lang string", recursive=True)
 
 
 @register("S4", SQL_FREQ)

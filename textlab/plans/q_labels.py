@@ -263,9 +263,9 @@ def q_f6(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", F.length("text").alias("n"), (F.length("text") == F.col("n_chars")).alias("same"))
 
 
-@register("F7", "select conv_id, turn, trim(text, ' ') as text from conversations")
+@register("F7", "select conv_id, turn, regexp_replace(text, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') as text from conversations")
 def q_f7(spark, d):
-    return fx.table(spark, d, "conversations").select("conv_id", "turn", F.trim("text").alias("text"))
+    return fx.table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
 
 
 @register("F8", """select distinct source, case when lower(source) in ('tscc') then 'TSCC'
@@ -284,7 +284,7 @@ def q_f9(spark, d):
 
 
 @register("F10", """select event_id, value::VARCHAR as value_text,
-  lower(event_type) in ('true', 't', '1', 'yes', 'y', 'click') as flag from events""")
+  lower(event_type) in ('true', 't', 'yes', 'y', 'click') as flag from events""")
 def q_f10(spark, d):
     ev = fx.table(spark, d, "events")
     return ev.select("event_id", F.col("value").cast("string").alias("value_text"),

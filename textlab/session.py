@@ -39,8 +39,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a scratch one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS, S3, ...)
-    and is respected as is.  Only a session without one (tests, local runs)
-    gets a fresh folder.
+    and is respected as is.  Only a ``local`` session without one (tests, local
+    runs) gets a fresh folder; on a cluster its absence is an error, because a
+    folder of one machine would be unreadable from the others.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -48,12 +49,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not conf_dir:
+        if not _single_machine(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share "
+                               f"(master is {sc.master}); intermediates are written there")
         conf_dir = tempfile.mkdtemp(prefix="textlab-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
+def _single_machine(master: str) -> bool:
+    """``local`` masters run driver and executors in one process; all others need a shared folder."""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written intermediates."""
     base = ensure_checkpoint_dir(spark)

@@ -34,8 +34,9 @@ CATALOG = {
 def read_corpus(spark: SparkSession, name: str, path: str, **override) -> DataFrame:
     """Texts of a corpus as ``(text)``: the catalogue entry for ``name`` (or the
     caller's ``is_csv``, ``text_column_id``, ``delimiter``, ``header``), position
-    -1 = last column (S5, P2)."""
-    base = CATALOG.get(name, CorpusEntry(name, True, 0, ","))
+    -1 = last column, the default of an unknown corpus (S5, P2).  What the caller
+    names wins over the catalogue."""
+    base = CATALOG.get(name, CorpusEntry(name, True, -1, ","))
     e = CorpusEntry(name, override.get("is_csv", base.is_csv), override.get("text_column_id", base.text_column_id),
                     override.get("delimiter", base.delimiter), override.get("header", base.header))
     if not e.is_csv:

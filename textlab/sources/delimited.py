@@ -20,11 +20,12 @@ WRITE_OPTS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "
 
 
 def read_delimited(spark: SparkSession, path, sep: str = ",", header: bool = True, schema: T.StructType | str | None = None,
-                   names: list[str] | None = None, infer: bool = False) -> DataFrame:
+                   names: list[str] | None = None, infer: bool = False, multiline: bool = True) -> DataFrame:
     """Read a delimited file or directory (S1); ``header=False`` with ``names`` or
     ``schema`` reads a headerless file (S2).  Without a schema all columns are
-    strings unless ``infer``."""
-    r = spark.read.options(**READ_OPTS).option("sep", sep).option("header", str(header).lower())
+    strings unless ``infer``.  ``multiline=False`` lets Spark split large files whose
+    fields hold no line breaks."""
+    r = spark.read.options(**READ_OPTS).option("multiLine", str(multiline).lower()).option("sep", sep).option("header", str(header).lower())
     if schema is not None and header:
         # a header names the columns: map them to the schema by name, not by position
         st = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -49,13 +50,13 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = Tru
     w.csv(path)
 
 
-def _fs_list(spark: SparkSession, path: str, ext: str) -> list[str]:
-    """Recursively list data files under ``path`` with the Hadoop FileSystem API (metadata only)."""
+def _fs_list(spark: SparkSession, path: str, ext: str, recursive: bool) -> list[str]:
+    """List data files of ``path`` with the Hadoop FileSystem API (metadata only)."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(conf)
-    it = fs.listFiles(p, True)
+    it = fs.listFiles(p, recursive)
     out = []
     while it.hasNext():
         s = it.next().getPath().toString()
@@ -77,15 +78,16 @@ def _first_line(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def read_dir(spark: SparkSession, path: str, ext: str = ".csv", sep: str = ",", schema=None) -> DataFrame:
-    """Read every ``*ext`` file under a directory and concatenate by column name (S3).
+def read_dir(spark: SparkSession, path: str, ext: str = ".csv", sep: str = ",", schema=None, recursive: bool = False) -> DataFrame:
+    """Read every ``*ext`` file of a directory and concatenate by column name (S3);
+    sub-folders (e.g. the splits of S8) only with ``recursive``.
 
     Files are grouped by their header line (one line read per file); each group
     is one ``read.csv`` over its files, and the groups are unioned by name, so a
     file with the same columns in another order is not mis-assigned.
     """
     from concurrent.futures import ThreadPoolExecutor
-    files = _fs_list(spark, path, ext)
+    files = _fs_list(spark, path, ext, recursive)
     with ThreadPoolExecutor(max_workers=32) as pool:  # one short read per file, I/O bound
         heads = list(pool.map(lambda f: _first_line(spark, f), files))
     groups: dict[str, list[str]] = {}
