@@ -60,6 +60,38 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def group_bounds(t: pa.Table, keys: list[str]) -> list[tuple[int, int]]:
+    """(start, end) of the runs of equal keys."""
+    if not len(t):
+        return []
+    new = np.zeros(len(t), bool)
+    for k in keys:
+        v = t.column(k).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    at = [0, *np.flatnonzero(new).tolist(), len(t)]
+    return list(zip(at[:-1], at[1:]))
+
+
+def whole_groups(it: Iterable[pa.RecordBatch], keys: list[str], rows: int = 8192) -> Iterable[pa.Table]:
+    """A partition sorted by ``keys`` as tables of about ``rows`` rows that never cut a group; a larger group comes alone
+    or with few others, so groups have to be of bounded size."""
+    have: list[pa.RecordBatch] = []
+    size = 0
+    for batch in chunk_docs(it, rows):
+        have.append(batch)
+        size += batch.num_rows
+        if size < rows:
+            continue
+        t = pa.Table.from_batches(have)
+        last = group_bounds(t, keys)[-1][0]
+        if last:
+            yield t.slice(0, last).combine_chunks()
+        have = t.slice(last).to_batches()
+        size = len(t) - last
+    if size:
+        yield pa.Table.from_batches(have).combine_chunks()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written intermediates that nothing will read again."""
     for t in tables:

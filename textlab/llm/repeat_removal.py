@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlab.llm.common import byte_rows, chunk_docs
+from textlab.llm.common import byte_rows, chunk_docs, whole_groups
 from textlab.session import materialize
 
 LENGTH, Q = 100, 32
@@ -200,7 +200,7 @@ def _open_runs(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """The bytes of the open runs: ``bucket, sub, doc, tie, start, data``."""
     lists = (marks.where("bucket is not null").groupBy("doc", "tie")
              .agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"), F.collect_list("bucket").alias("buckets"), F.collect_list("sub").alias("subs")))
-    both = docs.select("doc", "tie", "text").join(lists, ["doc", "tie"]).select("doc", "tie", "text", "starts", "ns", "buckets", "subs")
+    both = docs.select("doc", "tie", "text").join(lists.hint("merge"), ["doc", "tie"]).select("doc", "tie", "text", "starts", "ns", "buckets", "subs")
 
     def run(it):
         for batch in chunk_docs(it, 256):
@@ -255,22 +255,8 @@ def _strings(runs: DataFrame) -> DataFrame:
                                              ["doc", "tie", "start", "n", "name"])
 
     def run(it):
-        have: list[pa.RecordBatch] = []
-        size = 0
-        for batch in it:
-            have.append(batch)
-            size += batch.num_rows
-            if size < 8192:
-                continue
-            t = pa.Table.from_batches(have)
-            b, u = t.column("bucket").to_numpy(), t.column("sub").to_numpy()
-            cut = int(np.flatnonzero((b != b[-1]) | (u != u[-1]))[-1]) + 1 if (b[0], u[0]) != (b[-1], u[-1]) else 0
-            if cut:
-                yield from settle(t.slice(0, cut))
-            have = t.slice(cut).to_batches()
-            size = len(t) - cut
-        if size:
-            yield from settle(pa.Table.from_batches(have))
+        for t in whole_groups(it, ["bucket", "sub"]):
+            yield from settle(t)
 
     return dealt.mapInArrow(run, "doc long, tie int, start long, n int, name long")
 
@@ -291,7 +277,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     found = (marks.where("bucket is null").select("doc", "tie", "start", "n")
              .unionByName(strings.where("name is null").select("doc", "tie", "start", "n")).unionByName(late))
     spans = found.groupBy("doc", "tie").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
-    both = src.join(spans, ["doc", "tie"], "left").select("doc", "text", "starts", "ns")
+    both = src.join(spans.hint("merge"), ["doc", "tie"], "left").select("doc", "text", "starts", "ns")
     extra = ", kept binary, spans array<struct<start:long,length:long>>" if keep_text else ""
 
     def run(it):
