@@ -94,6 +94,18 @@ def classification_report(df: DataFrame, y_true: str = "y_true", y_pred: str = "
     return classes.unionByName(summary)
 
 
+def metric_set(labels: Iterable | None = None):
+    """A metric function bound to a label list (Z5): ``metrics(df)`` -> macro F1, accuracy, the
+    confusion matrix over ``labels`` and the report over all labels seen."""
+    bound = None if labels is None else list(labels)
+
+    def metrics(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> dict[str, DataFrame]:
+        return {"f1": f1(df, "macro", y_true, y_pred), "accuracy": accuracy(df, y_true, y_pred),
+                "confusion": confusion(df, bound, y_true, y_pred), "report": classification_report(df, y_true, y_pred)}
+
+    return metrics
+
+
 def f1(df: DataFrame, average: str = "macro", y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
     """F1 with ``macro``, ``weighted`` or ``micro`` averaging (E5) -> one row ``f1``."""
     pc = per_class(df, y_true, y_pred)
@@ -211,10 +223,25 @@ def gaussian_kl(df: DataFrame, mu: str = "mu", std: str = "std", mu_p: str | Non
 def sampled_logits(df_long: DataFrame, row_id: str = "id", sample: str = "sample", logits: str = "logits",
                    label: str = "label") -> DataFrame:
     """Ensemble of sampled logits (E15) -> ``(row_id, label, mean_logits, loss)``:
-    element-wise mean over samples, and the cross-entropy averaged over samples."""
+    element-wise mean over samples, and the loss averaged over samples: squared
+    error when there is one output, else cross-entropy."""
     per = df_long.select(row_id, F.posexplode(logits).alias("_pos", "_v"))
     mean_v = per.groupBy(row_id, "_pos").agg(F.avg(F.col("_v").cast("double")).alias("_m"))
     mean_arr = mean_v.groupBy(row_id).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_m"))), lambda s: s["_m"]).alias("mean_logits"))
     ce = log_sum_exp(logits) - F.element_at(F.col(logits), F.col(label).cast("int") + 1).cast("double")
-    loss = df_long.select(row_id, label, ce.alias("_ce")).groupBy(row_id, label).agg(F.avg("_ce").alias("loss"))
+    se = F.pow(F.element_at(F.col(logits), 1).cast("double") - F.col(label).cast("double"), 2)
+    one = F.when(F.size(logits) == 1, se).otherwise(ce)
+    loss = df_long.select(row_id, label, one.alias("_loss")).groupBy(row_id, label).agg(F.avg("_loss").alias("loss"))
     return loss.join(mean_arr, row_id)
+
+
+def sampled_loss(df_long: DataFrame, row_id: str = "id", sample: str = "sample", logits: str = "logits", label: str = "label") -> DataFrame:
+    """Loss of sampled logits averaged over samples, then over rows (E15) -> one row ``loss``."""
+    return sampled_logits(df_long, row_id, sample, logits, label).agg(F.avg("loss").alias("loss"))
+
+
+def annealed_loss(parts: DataFrame, step: str = "step", ce: str = "ce", kl: str = "kl", beta: float = 1.0, warmup: int = 0) -> DataFrame:
+    """``ce + beta(step) * kl`` with beta rising linearly to ``beta`` over ``warmup`` steps
+    (E14 with E15) -> input plus ``beta`` and ``loss``."""
+    b = F.lit(float(beta)) if warmup <= 0 else F.least(F.lit(1.0), F.col(step) / F.lit(float(warmup))) * F.lit(float(beta))
+    return parts.withColumn("beta", b).withColumn("loss", F.col(ce) + F.col("beta") * F.col(kl))

@@ -221,18 +221,23 @@ def encode(df: DataFrame, vocab: DataFrame, text: str = "text", max_length: int
     """Token ids truncated to ``max_length`` and padded to the longest sequence of
     the whole set, with an attention mask (K5, F18).
 
-    The vocabulary (bounded by its ``size``) reaches the rows as one map value
-    (a scalar subquery); lookup is a ``transform`` -- no explode, join or regroup.
+    Only the first ``max_length`` tokens are looked up, each distinct sequence
+    once: an equi-join of its tokens with the vocabulary, regrouped by the
+    sequence's digest, so the vocabulary's size does not matter.
     """
-    vmap = vocab.agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("m")).select("m").scalar()
     unk_id = vocab.where(F.col("token") == unk).select("id").scalar()
-    d = df.withColumn("_tok", tokens(text, pattern, lower=lower)).withColumn("_vm", vmap).withColumn("_unk", unk_id)
-    d = d.withColumn("_ids", F.slice(F.transform("_tok", lambda t: F.coalesce(F.element_at(F.col("_vm"), t), F.col("_unk"))), 1, max_length))
+    d = (df.withColumn("_tok", F.slice(tokens(text, pattern, lower=lower), 1, max_length))
+         .withColumn("_key", F.sha2(F.concat_ws("\u0000", "_tok"), 256)).withColumn("_unk", unk_id))
+    long = d.select("_key", "_tok").dropDuplicates(["_key"]).select("_key", F.posexplode("_tok").alias("_pos", "token"))
+    ids = (long.join(vocab.select("token", "id"), "token", "left").groupBy("_key")
+           .agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("id", F.lit(-1)).alias("id")))), lambda s: s["id"]).alias("_found")))
+    d = d.join(ids, "_key", "left").withColumn("_ids", F.transform(
+        F.coalesce("_found", F.array().cast("array<int>")), lambda x: F.when(x == -1, F.col("_unk")).otherwise(x)))
     longest = df.select(F.least(F.size(tokens(text, pattern, lower=lower)), F.lit(max_length)).alias("n")).agg(F.max("n").alias("m")).select("m").scalar()
     d = d.withColumn("_len", longest)
     return (d.withColumn("input_ids", truncate_pad(F.col("_ids"), F.col("_len"), pad_id))
              .withColumn("attention_mask", attention_mask(F.col("_ids"), F.col("_len")))
-             .drop("_tok", "_vm", "_unk", "_ids", "_len"))
+             .drop("_tok", "_key", "_found", "_unk", "_ids", "_len"))
 
 
 def token_lengths(df: DataFrame, text: str = "text", pattern: str = WORD_PATTERN, lower: bool = True) -> DataFrame:

@@ -251,3 +251,11 @@ def q_a21(spark, d):
 def q_t3(spark, d):
     ex = cmp.ll_extremes(cmp.log_likelihood(_aligned(spark, d)), 15)
     return ex.select("direction", "rank", "word", "o1", "o2", r6("ll").alias("ll"))
+
+
+@register("Z3", r"""select w as word, count(*)::BIGINT as frequency from
+  (select unnest(string_split_regex(lower(text), '[^a-z]+')) as w from documents) where w != '' group by w""")
+def q_z3(spark, d):
+    # a caller's tokenizer: any Column -> Column that yields an array of words
+    plain = lambda c: F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: w != "")
+    return fq.word_freq(fx.table(spark, d, "documents"), remove_stop_words=False, tokenizer=plain)

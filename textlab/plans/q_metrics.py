@@ -204,10 +204,43 @@ def q_e15(spark, d):
               .select("id", "label", "loss", "pos", r6("mean_logit").alias("mean_logit"))
 
 
+@register("E15_mean", f"""select round(avg(loss), 6) as loss from
+  (select id, avg({SQL_LSE} - l[label + 1]) as loss from {SQL_SAMPLES} group by id)""")
+def q_e15_mean(spark, d):
+    emb = fx.table(spark, d, "embeddings")
+    long = emb.select((F.col("vec_id") % 100).alias("id"), (F.col("vec_id") / 100).cast("bigint").alias("sample"),
+                      ((F.col("vec_id") % 100) % 10).alias("label"), F.slice("embedding", 1, 10).alias("logits"))
+    return me.sampled_loss(long).select(r6("loss").alias("loss"))
+
+
+@register("E15_one", """select id, label, round(avg(pow(v - label, 2)), 6) as loss, round(avg(v), 6) as mean_logit from
+  (select vec_id % 100 as id, (vec_id % 100) % 10 as label, embedding[1]::DOUBLE as v from embeddings) group by id, label""")
+def q_e15_one(spark, d):
+    emb = fx.table(spark, d, "embeddings")
+    long = emb.select((F.col("vec_id") % 100).alias("id"), (F.col("vec_id") / 100).cast("bigint").alias("sample"),
+                      ((F.col("vec_id") % 100) % 10).alias("label"), F.slice("embedding", 1, 1).alias("logits"))
+    return me.sampled_logits(long).select("id", "label", r6("loss").alias("loss"), r6(F.get("mean_logits", F.lit(0))).alias("mean_logit"))
+
+
+@register("Z5", f"""with c as (select y_true, y_pred, count(*) as n from {SQL_PREDS} group by all),
+  a as (select unnest([0, 2, 4, 6, 11])::INTEGER as l)
+  select t.l as y_true, p.l as y_pred, coalesce(c.n, 0)::BIGINT as n from a t cross join a p left join c on c.y_true = t.l and c.y_pred = p.l""")
+def q_z5(spark, d):
+    return me.metric_set([0, 2, 4, 6, 11])(_preds(spark, d))["confusion"]
+
+
+@register("Z6", """select vec_id, round(list_sum(list_transform(l, lambda x: 1.0 / (1.0 + exp(-x)))), 6) as sigmoid_sum,
+  round(list_sum(l), 6) as identity_sum from (select vec_id, list_transform(embedding, lambda x: x::DOUBLE) as l from embeddings)""")
+def q_z6(spark, d):
+    emb = fx.table(spark, d, "embeddings")
+    total = lambda name: F.aggregate(ar.activate("embedding", name), F.lit(0.0), lambda acc, x: acc + x)
+    return emb.select("vec_id", *[r6(total(n)).alias(f"{n}_sum") for n in ("sigmoid", "identity")])
+
+
 @register("F14", f"""select vec_id, round({SQL_LSE}, 6) as lse, round(list_max(list_transform(l, lambda x: exp(x - {SQL_LSE}))), 6) as max_prob
-  from (select vec_id, list_transform(embedding[1:10], lambda x: x::DOUBLE) as l from embeddings)""")
+  from (select vec_id, list_transform(embedding, lambda x: x::DOUBLE) as l from embeddings)""")
 def q_f14(spark, d):
-    emb = fx.table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 10).alias("l"))
+    emb = fx.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("l"))
     return emb.select("vec_id", r6(ar.log_sum_exp("l")).alias("lse"), r6(F.array_max(ar.softmax("l"))).alias("max_prob"))
 
 
@@ -215,9 +248,9 @@ def q_f14(spark, d):
   round(list_sum(list_transform(l, lambda x: tanh(x))), 6) as tanh_sum,
   round(list_sum(list_transform(l, lambda x: case when x > 20 then x else ln(1 + exp(x)) end)), 6) as softplus_sum,
   round(list_sum(list_transform(l, lambda x: least(greatest(x, -0.5), 0.5))), 6) as clamp_sum
-  from (select vec_id, list_transform(embedding[1:10], lambda x: x::DOUBLE) as l from embeddings)""")
+  from (select vec_id, list_transform(embedding, lambda x: x::DOUBLE) as l from embeddings)""")
 def q_f15(spark, d):
-    emb = fx.table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 10).alias("l"))
+    emb = fx.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("l"))
     def total(a):
         return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
     return emb.select("vec_id", r6(total(ar.activate("l", "relu"))).alias("relu_sum"), r6(total(ar.activate("l", "tanh"))).alias("tanh_sum"),
