@@ -11,6 +11,8 @@ from textlab.functions.text import strip_spans_col
 from textlab.operators import labels as lb
 from textlab.operators import select as sel
 from textlab.plans.prepare_cases import prepare_cases
+from textlab.session import scratch_path
+from textlab.sources.delimited import read_delimited, write_delimited
 from textlab.plans.registry import r6, register
 
 SQL_CASES = """(select l_orderkey as dekaid,
@@ -192,6 +194,30 @@ def q_l6(spark, d):
     return prepare_cases(_cases(spark, d), "lawids", order=None)
 
 
+def _issues(spark, d):
+    """Every case in two issues: an old text as issue 1, the case as issue 2."""
+    c = _cases(spark, d)
+    old = c.withColumn("fact", F.concat(F.lit("superseded "), "fact")).withColumn("issueno", F.lit(1))
+    return old.unionByName(c.withColumn("issueno", F.lit(2)))
+
+
+def _written(spark, cleaned):
+    """Through the delimited sink and back, as the preparation ends."""
+    path = scratch_path(spark, "l6")
+    write_delimited(cleaned, path)
+    return read_delimited(spark, path, schema="label int, filtered_fact string")
+
+
+@register("L6_issues", SQL_L6)
+def q_l6_issues(spark, d):
+    return _written(spark, prepare_cases(_issues(spark, d), "lawids", order="issueno"))
+
+
+@register("L6_guilty", f"""select isguilty::INTEGER as label, regexp_replace(fact, '<discr>.*?</discr>', '', 'g') as filtered_fact from {SQL_CASES}""")
+def q_l6_guilty(spark, d):
+    return _written(spark, prepare_cases(_issues(spark, d), "isguilty", order="issueno"))
+
+
 @register("A6", f"""with long as {SQL_LONG}, rk as {SQL_RANK},
   prim as (select dekaid, arg_min(label, rank) as code from long join rk using (label) group by dekaid),
   kept as (select * from prim where code in (select code from prim group by code having count(*) >= 5))

@@ -13,12 +13,19 @@ from textlab.operators.freq import word_freq
 from textlab.operators.segment import segment
 from textlab.plans.dataset_stats import dataset_stats
 from textlab.plans.q_labels import SQL_LABELLED
-from textlab.plans.q_split import sql_kshot
+from textlab.plans.q_split import sql_full, sql_kshot
 from textlab.plans.registry import WORD_RE, r6, register
 
 SQL_X2T = sql_kshot(SQL_LABELLED, 100)  # doc_id, text, label, split
 
 
+SQL_FULLT = sql_full(SQL_LABELLED)  # the same columns, a training split that grows with the data
+
+
+def _full(spark, d):
+    return sp.split_full(fx.labelled(spark, d), "label", "doc_id")
+
+
 def _x2(spark, d):
     lab = fx.labelled(spark, d)
     return sp.split_kshot(lab, "label", "doc_id", 100)
@@ -28,13 +35,13 @@ def _part(df, name):
     return df.where(F.col("split") == name).drop("split")
 
 
-SQL_MODE = f"(select label from {SQL_X2T} where split = 'train' group by label order by count(*) desc, label limit 1)"
+SQL_MODE = f"(select label from {SQL_FULLT} where split = 'train' group by label order by count(*) desc, label limit 1)"
 
 
 @register("M5", f"""select 'most_frequent' as strategy, count(*)::BIGINT as n,
-  round(avg((label = {SQL_MODE})::INTEGER::DOUBLE), 6) as accuracy from {SQL_X2T} where split = 'valid'""")
+  round(avg((label = {SQL_MODE})::INTEGER::DOUBLE), 6) as accuracy from {SQL_FULLT} where split = 'valid'""")
 def q_m5(spark, d):
-    s = _x2(spark, d)
+    s = _full(spark, d)
     p = mo.baseline(_part(s, "train"), _part(s, "valid"), "most_frequent", id_col="doc_id")
     return p.agg(F.lit("most_frequent").alias("strategy"), F.count(F.lit(1)).alias("n"),
                  r6(F.avg((F.col("y_true") == F.col("y_pred")).cast("double"))).alias("accuracy"))
@@ -42,18 +49,18 @@ def q_m5(spark, d):
 
 SQL_U = "(('0x' || substr(md5(doc_id::VARCHAR || ':101'), 1, 13))::BIGINT / 4503599627370496.0)"
 SQL_TRAIN_CUM = f"""(select label, sum(count(*)) over (order by label rows between unbounded preceding and current row)
-  / (select count(*) from {SQL_X2T} where split = 'train') as hi from {SQL_X2T} where split = 'train' group by label)"""
-SQL_TRAIN_CLS = f"(select list(distinct label order by label) as a from {SQL_X2T} where split = 'train')"
+  / (select count(*) from {SQL_FULLT} where split = 'train') as hi from {SQL_FULLT} where split = 'train' group by label)"""
+SQL_TRAIN_CLS = f"(select list(distinct label order by label) as a from {SQL_FULLT} where split = 'train')"
 
 
-@register("M6", f"""select 'prior' as strategy, doc_id as id, label as y_true, {SQL_MODE} as y_pred from {SQL_X2T} where split = 'valid'
-  union all select 'constant', doc_id, label, 1 from {SQL_X2T} where split = 'valid'
+@register("M6", f"""select 'prior' as strategy, doc_id as id, label as y_true, {SQL_MODE} as y_pred from {SQL_FULLT} where split = 'valid'
+  union all select 'constant', doc_id, label, 1 from {SQL_FULLT} where split = 'valid'
   union all select 'uniform', doc_id, label, (select a from {SQL_TRAIN_CLS})[(floor({SQL_U} * len((select a from {SQL_TRAIN_CLS}))) + 1)::INTEGER]
-    from {SQL_X2T} where split = 'valid'
+    from {SQL_FULLT} where split = 'valid'
   union all select 'stratified', doc_id, label, coalesce((select min(c.label) from {SQL_TRAIN_CUM} c where c.hi > {SQL_U}),
-    (select max(label) from {SQL_TRAIN_CUM})) from {SQL_X2T} where split = 'valid'""")
+    (select max(label) from {SQL_TRAIN_CUM})) from {SQL_FULLT} where split = 'valid'""")
 def q_m6(spark, d):
-    s = _x2(spark, d)
+    s = _full(spark, d)
     tr, va = _part(s, "train"), _part(s, "valid")
     out = None
     for strat in ("prior", "constant", "uniform", "stratified"):
@@ -116,14 +123,14 @@ def q_k3(spark, d):
 
 
 SQL_TRAIN_FREQ = f"""(select w as word, count(*) as frequency from (select unnest(regexp_extract_all(lower(text), '{WORD_RE}')) as w
-  from {SQL_X2T} where split = 'train') group by w)"""
+  from {SQL_FULLT} where split = 'train') group by w)"""
 SQL_VOCAB = f"""(select * from (values ('<pad>', 0), ('<unk>', 1), ('<s>', 2), ('</s>', 3)) v(token, id)
   union all select word, (row_number() over (order by frequency desc, word) + 3)::INTEGER from
   (select * from {SQL_TRAIN_FREQ} order by frequency desc, word limit 1000))"""
 
 
 def _vocab(spark, d):
-    return mo.build_vocab(_part(_x2(spark, d), "train"), "text", size=1000)
+    return mo.build_vocab(_part(_full(spark, d), "train"), "text", size=1000)
 
 
 @register("K4", f"select token, id::INTEGER as id from {SQL_VOCAB}")
