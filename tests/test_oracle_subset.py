@@ -11,7 +11,7 @@ import __spark_entry__ as E
 from conftest import SF001
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-IDS = ["A1", "P7", "J1", "A14", "A21", "T3", "W6", "X2", "X1", "T5", "E3", "E8", "L6", "L3", "W1", "W3", "M9", "M10", "M11", "K3", "K5", "F16"]
+IDS = ["A1", "P7", "J1", "A14", "A21", "T3", "W6", "X2", "X1", "T5", "E3", "E8", "L6", "L3", "W1", "W3", "M9", "M10", "M11", "K3", "K5", "F16", "K2", "K4", "L6_issues", "L6_guilty", "Z3", "Z4", "Z5", "Z6", "E15_one", "E15_mean", "F14", "M5", "W2", "W4", "X4", "F7", "A2"]
 
 
 @pytest.fixture(scope="module")

@@ -28,10 +28,18 @@ def stream_word_freq(spark: SparkSession, src: str, glob: str = "*.txt", pattern
 
 
 def run_to_table(counts: DataFrame, out_path: str, checkpoint: str) -> None:
-    """Run until the source is drained; each batch rewrites the full table
-    (``foreachBatch`` over complete output) so ``out_path`` is always whole."""
+    """Run until the source is drained; each batch writes the full table
+    (``foreachBatch`` over complete output) beside ``out_path`` and then takes its
+    place, so a crash leaves a whole table: the old one, or the new one under
+    ``<out_path>.next``, which the replayed batch writes again."""
     def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        spark, new = batch.sparkSession, out_path.rstrip("/") + ".next"
+        batch.write.mode("overwrite").parquet(new)
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(out_path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        fs.delete(path(out_path), True)
+        if not fs.rename(path(new), path(out_path)):
+            raise OSError(f"could not move {new} to {out_path}")
 
     q = (counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
          .foreachBatch(write).trigger(availableNow=True).start())
