@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlab.llm.bbit_minhash import near_duplicates
-from textlab.llm.common import fold
+from textlab.llm.common import fold, prepare
 from textlab.llm.language_mix import identify, learn
 from textlab.llm.mixing import mixed_documents
 from textlab.llm.packing import pack
 from textlab.llm.secret_forest import redact, scan
-from textlab.session import materialize, ship_package
+from textlab.session import materialize
 
 #: A document stays when one language makes up at least this share of it.
 LANGUAGE_SHARE = 0.5
@@ -25,7 +25,7 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or without a leading language go."""
-    ship_package(spark)
+    prepare(spark)
     names = docs.columns
     model = learn(docs.where(fold("doc_id", 3) != 1))
     kept = identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SHARE))
@@ -36,10 +36,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five words, similarity 0.8) stays, the one with the smallest id.
 
     Of rows repeating an id one stays; rows without an id stay."""
-    ship_package(spark)
+    prepare(spark)
     groups = near_duplicates(docs, k=5, threshold=80).where(F.col("doc_id").isNotNull())
     kept = groups.where("kept").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    out = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     if docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").take(1):
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where(F.col("doc_id").isNull()))
@@ -47,13 +47,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the text; every document stays."""
-    ship_package(spark)
+    prepare(spark)
     return redact(docs, scan(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: a row for each copy of a document that it takes."""
-    ship_package(spark)
+    prepare(spark)
     return mixed_documents(docs)
 
 
@@ -61,7 +61,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture's token pieces and their places in sequences of 4096."""
     import public_tokenizers
 
-    ship_package(spark)
+    prepare(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

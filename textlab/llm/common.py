@@ -18,8 +18,20 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Rows of an Arrow batch where rows carry whole texts; the default of 10,000 fills memory outside the heap.
+ARROW_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package to the workers, and keep Arrow batches small unless the session says otherwise."""
     ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -44,7 +56,7 @@ def chunk_docs(it: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterable[pa.Re
 class WordHash(dict):
     """word bytes -> 64-bit hash; the cache starts anew when it has grown to ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 

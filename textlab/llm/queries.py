@@ -21,7 +21,6 @@ from textlab.llm.quality_mil import fit, score
 from textlab.llm.quality_rules import apply_rules
 from textlab.llm.repeat_removal import remove_repeats
 from textlab.llm.secret_forest import scan
-from textlab.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -128,7 +127,7 @@ select d.vec_id, coalesce(k.n_links, 0)::BIGINT as n_links, c.component_id, d.ve
 from embeddings d join c on c.a = d.vec_id left join k on k.a = d.vec_id""")
 def op3_embedding_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all embeddings at cosine 0.95."""
-    ship_package(spark)
+    C.prepare(spark)
     return range_join(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.95)
 
 
