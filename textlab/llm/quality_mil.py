@@ -123,7 +123,7 @@ def _gradient(w: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray, y: np
 
 
 def train(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gates: int = 12, epochs: int = 30, batch: int = 256,
-          rate: float = 0.01, decay: float = 1e-5, seed: int = 11) -> AttentionModel:
+          rate: float = 0.01, decay: float = 1e-3, seed: int = 11) -> AttentionModel:
     """Fit the network on bags and their 0/1 labels."""
     labels = np.asarray(labels, float)
     if not len(labels) or labels.min() == labels.max():
