@@ -22,7 +22,7 @@ def test_read_dir_groups_by_header(spark):
     p = scratch_path(spark, "t-dir")
     io.write_delimited(a, os.path.join(p, "a"))
     io.write_delimited(b, os.path.join(p, "b"))
-    back = io.read_dir(spark, p, schema="id long, text string")
+    back = io.read_dir(spark, p, schema="id long, text string", recursive=True)  # the groups lie in sub-folders
     assert sorted((r["id"], r["text"]) for r in back.collect()) == [(1, "x"), (2, "y")]
 
 
