@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from textlab.llm.common import components
 from textlab.session import materialize
 
-BLOCK = 4096
-VISITORS = 16384
+BLOCK = 8192
+VISITORS = 32768
 #: Bound of the pivot table that every task holds (pivots x dimensions x 8 bytes).
 MAX_PIVOTS = 1024
 
@@ -89,8 +89,8 @@ def _block_links(home: np.ndarray, visit: np.ndarray, threshold: float) -> tuple
     slack = 1e-5 + 4e-7 * home.shape[1]
     h32 = home.astype(np.float32)
     out_i, out_j = [], []
-    for at in range(0, len(visit), 2048):
-        v = visit[at:at + 2048]
+    for at in range(0, len(visit), 1024):
+        v = visit[at:at + 1024]
         s = h32 @ v.astype(np.float32).T
         i, j = np.nonzero(s >= np.float32(threshold - slack))
         close = np.flatnonzero(s[i, j] < threshold + slack)
