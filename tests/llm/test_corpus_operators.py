@@ -400,3 +400,20 @@ def test_secrets_odd_rows(spark, odd_docs, no_docs):
     out = secret_forest.redact(docs, found)
     assert out.count() == 5 and out.columns == ["doc_id", "text"]
     assert sum("[secret]" in (r.text or "") for r in out.collect()) >= 3
+
+
+def test_secrets_announced_values_of_any_length_and_alphabet(spark):
+    values = {100: ("password=", "Hunter2024!", " "), 101: ('"pwd": "', "p@ss!w0rd..x", '", '), 102: ("token: ", "ab1.cd2.ef3", "\n"), 103: ("passphrase = '", "it 4 \\' all", "' "),
+              104: ("Authorization: Bearer ", "aZ3.bY4.cX5", " "), 105: ("secret=", "é7ß", "")}
+    rows = [(r.doc_id, r.text) for r in secret_docs(spark).collect()]
+    rows += [(i, prose(i, 20) + " " + a + v + b + prose(i + 7, 5) * bool(b)) for i, (a, v, b) in values.items()]
+    rows += [(200, "monkey: banana1 keyboard=qwerty2 the author: someone3 key:: x1 token=\"\" x")]
+    docs = spark.createDataFrame(rows, DOC)
+    text = dict(rows)
+    found = secret_forest.scan(docs)
+    got = found.collect()
+    assert all(text[r.doc_id][r.start:r.start + r.length] == r.value for r in got)
+    assert {(r.doc_id, r.value) for r in got if r.is_secret and r.doc_id >= 100} == {(i, v) for i, (_, v, _) in values.items()}
+    assert not [r for r in got if r.doc_id == 200]
+    out = {r.doc_id: r.text for r in secret_forest.redact(docs, found).collect()}
+    assert all(out[i] == text[i].replace(a + v, a + "[secret]") for i, (a, v, _) in values.items())

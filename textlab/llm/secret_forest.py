@@ -1,9 +1,10 @@
 r"""Secret scans with a random forest that removes false positives.
 
-Candidates are runs of ``LEAST`` or more characters of ``[A-Za-z0-9+/_-]``.  Each is described by its length, its character
-transitions and kinds, how much of it the corpus' own dictionary covers, path signs around it, and its neighbouring words;
-a random forest fitted on labelled findings gives the probability that it is a secret.  Everything is SQL functions and the
-JVM's forest; no Python runs on the executors.
+Candidates are runs of ``LEAST`` or more characters of ``[A-Za-z0-9+/_-]``, and, of any length and alphabet, values assigned to
+an identifier that announces a credential: what stands in quotes, or all up to white space.  Each is described by its length,
+its character transitions and kinds, how much of it the corpus' own dictionary covers, path signs around it, and its
+neighbouring words; a random forest fitted on labelled findings gives the probability that it is a secret.  Everything is SQL
+functions and the JVM's forest; no Python runs on the executors.
 
 * Dictionary: letter runs counted over all documents, those with at least one occurrence in ``RARITY``, so at most
   ``RARITY`` words.  Coverage is the share of a candidate's letter 4-grams that occur in dictionary words.
@@ -30,12 +31,28 @@ LEAST = 16
 RARITY = 50_000
 SAMPLE = 20_000
 CHARS = "A-Za-z0-9+/_\\-"
-PATTERN = f"[{CHARS}]{{{LEAST},}}"
-#: Characters of the neighbouring text that a candidate keeps on either side.
-CONTEXT = 80
+#: Characters of the neighbouring text that a candidate keeps on either side, and so many matches that they fill it (with the
+#: gap, the shortest takes six characters).
+CONTEXT, NEAR = 80, 16
 #: Words that announce a credential, and words that announce a harmless identifier; fixed values.
 ANNOUNCE = ["password", "passwd", "pwd", "token", "secret", "apikey", "api_key", "key", "credential", "credentials", "auth", "bearer", "access_key", "private_key"]
 HARMLESS = ["commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "revision", "rev", "blob", "uuid", "guid", "hash", "id"]
+
+
+def _part(word: str) -> str:
+    """``word`` as a part of an identifier: ``key`` in ``api_key``, ``API_KEY`` and ``apiKey``, not in ``monkey`` or ``keyboard``."""
+    return f"(?<![A-Za-z]){word}s?(?![a-z])|(?<![A-Za-z]){word.upper()}S?(?![A-Za-z])|{word.capitalize()}s?(?![a-z])"
+
+
+#: An announcing word in an identifier.  Words that hardly occur inside others announce anywhere in it.
+ANNOUNCING = ("(?:(?i:password|passwd|passphrase|passcode|pwd|credential|api_?key)|(?:[Tt]oken|[Ss]ecret)s?(?![a-z])|(?:TOKEN|SECRET)S?(?![A-Z])|"
+              + "|".join(_part(w) for w in ("key", "pass", "auth", "authorization", "bearer")) + ")")
+#: What stands between the identifier and its value: a closing quote or bracket, a type, the sign, a scheme.
+ASSIGN = (r"""[\\"'`\])]{0,3}[ \t]*+(?::[ \t]*\w+[ \t]+=(?!=)|:=|=>|=++|:(?!:))(?:\s*+(?=["'])|[ \t]*+)(?:(?i:bearer|basic)[ \t]+)?""")
+VALUE = r"""(?:"(?:[^"\\\n]|\\.)++(?=")|'(?:[^'\\\n]|\\.)++(?=')|(?!(["'])\1(?!\1))(?!["'](?:\s|$))\S+)"""
+PATTERN = (f"(?<![{CHARS}])(?=[{CHARS}]++[\\\\\"'`\\])]{{0,3}}[ \\t]*+[=:])(?=[{CHARS}]*?{ANNOUNCING})[{CHARS}]++{ASSIGN}{VALUE}|[{CHARS}]{{{LEAST},}}")
+#: The part of such a match before the value.
+LEAD = f"^[{CHARS}]+{ASSIGN}(?:[\"'](?=[\\s\\S]))?"
 FEATURES = ["length", "digits", "upper", "lower", "signs", "transitions", "distinct", "entropy", "coverage", "slashes", "after_path", "extension",
             "assigned", "quoted", "announced", "harmless", "before_hash", "after_hash", "before_digits"]
 
@@ -54,23 +71,52 @@ def _grams(letters: Column) -> Column:
         F.array().cast("array<string>"))
 
 
+def _pieces(text: Column) -> Column:
+    """The text cut at its candidates: array of ``gap, value, told, before, after``; the last ``value`` is null.  ``gap`` is the
+    text since the last candidate, ``told`` says that the value was assigned to an announcing identifier."""
+    right = lambda s: F.substr(s, F.greatest(F.lit(1), F.length(s) - (CONTEXT - 1)))
+    left = lambda s: F.substr(s, F.lit(1), F.lit(CONTEXT))
+    nothing = F.lit(None).cast("string")
+
+    def cut(x: Column, i: Column) -> Column:
+        m, lead, pre, post = x["m"], x["lead"], x["pre"], x["post"]
+        name = F.regexp_extract(lead, f"^[{CHARS}]+", 0)
+        value, mid = F.substr(m, F.length(lead) + 1), F.substr(lead, F.length(name) + 1)
+        piece = lambda gap, v, told, before, after: F.struct(gap.alias("gap"), v.alias("value"), F.lit(told).alias("told"),
+                                                             right(before).alias("before"), left(after).alias("after"))
+        return (F.when(m.isNull(), F.array(piece(x["gap"], nothing, False, pre, F.lit(""))))
+                .when(lead == "", F.array(piece(x["gap"], m, False, pre, post)))
+                .when(F.length(name) >= LEAST, F.array(piece(x["gap"], name, False, pre, F.concat(mid, value, post)),
+                                                       piece(mid, value, True, F.concat(pre, lead), post)))
+                .otherwise(F.array(piece(F.concat(x["gap"], lead), value, True, F.concat(pre, lead), post))))
+
+    def around(t: Column) -> Column:
+        ends, joined = t["ends"], lambda part, start, n: F.array_join(F.slice(part, start, n), "")
+        return F.transform(t["zipped"], lambda x, i: F.struct(
+            x["gap"].alias("gap"), x["m"].alias("m"), F.coalesce(F.regexp_extract(x["m"], LEAD, 0), F.lit("")).alias("lead"),
+            right(F.concat(F.when(i > 0, joined(ends["tail"], F.greatest(F.lit(1), i + 1 - NEAR), F.least(i, F.lit(NEAR)))).otherwise(F.lit("")), right(x["gap"]))).alias("pre"),
+            left(F.concat(left(x["next"]), joined(ends["head"], i + 2, F.lit(NEAR)))).alias("post")))
+
+    matches, rest = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.split(text, PATTERN, -1)
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    zipped = let(F.struct(matches.alias("m"), rest.alias("r")), lambda t: F.transform(t["r"], lambda g, i: F.struct(
+        g.alias("gap"), F.get(t["m"], i).alias("m"), F.coalesce(F.get(t["r"], i + 1), F.lit("")).alias("next"))))
+    m = lambda x: F.coalesce(x["m"], F.lit(""))
+    ends = lambda z: F.transform(z, lambda x: F.struct(right(F.concat(x["gap"], m(x))).alias("tail"), left(F.concat(m(x), x["next"])).alias("head")))
+    return F.flatten(F.transform(let(let(zipped, lambda z: F.struct(z.alias("zipped"), ends(z).alias("ends"))), around), cut))
+
+
 def candidates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, text_hash, ordinal, start, value, before, after``: one row per candidate, in order of the text."""
+    """``doc_id, text_hash, ordinal, start, value, told, before, after``: one row per candidate, in order of the text."""
     text = F.col(f"`{text_col}`").cast("string")
-    found = docs.where(text.rlike(PATTERN)).select(
-        F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
-        F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1)).alias("values"), F.split(text, PATTERN, -1).alias("rest"))
-    rows = found.select("doc_id", "text_hash", F.posexplode(F.arrays_zip(
-        "values", F.transform("rest", lambda s: F.substr(s, F.greatest(F.lit(1), F.length(s) - (CONTEXT - 1)))).alias("tail"),
-        F.transform("rest", lambda s: F.substr(s, F.lit(1), F.lit(CONTEXT))).alias("head"), F.transform("rest", F.length).alias("gap"))).alias("ordinal", "x"))
+    found = docs.where(text.rlike(PATTERN)).select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_hash"), _pieces(text).alias("pieces"))
+    rows = found.select("doc_id", "text_hash", F.posexplode(F.transform("pieces", lambda x: F.struct(
+        F.length(x["gap"]).cast("long").alias("gap"), *[x[c].alias(c) for c in ("value", "told", "before", "after")]))).alias("ordinal", "x"))
+    rows = rows.select("doc_id", "text_hash", "ordinal", "x.*").dropDuplicates(["doc_id", "text_hash", "ordinal"])
     w = Window.partitionBy("doc_id", "text_hash").orderBy("ordinal")
-    rows = (rows.select("doc_id", "text_hash", "ordinal", F.col("x.values").alias("value"), F.col("x.tail").alias("before"),
-                        F.col("x.head").alias("head"), F.col("x.gap").cast("long").alias("gap"))
-            .dropDuplicates(["doc_id", "text_hash", "ordinal"]))
     start = F.sum(F.col("gap") + F.coalesce(F.length("value"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = (rows.withColumn("start", F.coalesce(start, F.lit(0)) + F.col("gap")).withColumn("after", F.lead("head").over(w))
-            .where("value is not null"))
-    return rows.select("doc_id", "text_hash", "ordinal", "start", "value", "before", "after")
+    return rows.withColumn("start", F.coalesce(start, F.lit(0)) + F.col("gap")).where("value != ''").select(
+        "doc_id", "text_hash", "ordinal", "start", "value", "told", "before", "after")
 
 
 def features(found: DataFrame, grams: DataFrame) -> DataFrame:
@@ -78,7 +124,7 @@ def features(found: DataFrame, grams: DataFrame) -> DataFrame:
     v = F.col("value")
     n = F.length(v)
     share = lambda keep: F.length(F.regexp_replace(v, f"[^{keep}]", "")) / n
-    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]+", "l"), "[A-Z]+", "U"), "[0-9]+", "9"), "[+/_\\-]+", ".")
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]+", "l"), "[A-Z]+", "U"), "[0-9]+", "9"), "[^lU9]+", ".")
     chars = F.split(v, "")
     counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
     before_word = F.lower(F.regexp_extract("before", r"([A-Za-z0-9_]+)[^A-Za-z0-9_]*$", 1))
@@ -87,12 +133,12 @@ def features(found: DataFrame, grams: DataFrame) -> DataFrame:
     flag = lambda c: c.cast("double")
     base = found.withColumn("before_word", before_word).withColumn("after_word", after_word).select(
         "*", n.cast("double").alias("length"), share("0-9").alias("digits"), share("A-Z").alias("upper"), share("a-z").alias("lower"),
-        share("+/_\\-").alias("signs"), ((F.length(kinds) - 1) / n).alias("transitions"), (F.size(F.array_distinct(chars)) / n).alias("distinct"),
+        (F.length(F.regexp_replace(v, "[A-Za-z0-9]", "")) / n).alias("signs"), ((F.length(kinds) - 1) / n).alias("transitions"), (F.size(F.array_distinct(chars)) / n).alias("distinct"),
         F.aggregate(counts, F.lit(0.0), lambda a, p: a - p * F.log2(p)).alias("entropy"),
         flag(n - F.length(F.translate(v, "/", ""))).alias("slashes"), flag(F.col("before").rlike(r"[/\\.~]$")).alias("after_path"),
-        flag(F.col("after").rlike(r"^\.[A-Za-z]{1,5}\b")).alias("extension"), flag(F.col("before").rlike(r"[=:]\s*[\"']?$")).alias("assigned"),
+        flag(F.col("after").rlike(r"^\.[A-Za-z]{1,5}\b")).alias("extension"), flag(F.col("told") | F.col("before").rlike(r"[=:]\s*[\"']?$")).alias("assigned"),
         flag(F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")).alias("quoted"),
-        flag(F.col("before_word").isin(ANNOUNCE)).alias("announced"), flag(F.col("before_word").isin(HARMLESS)).alias("harmless"),
+        flag(F.col("told") | F.col("before_word").isin(ANNOUNCE)).alias("announced"), flag(F.col("before_word").isin(HARMLESS)).alias("harmless"),
         bucket(F.col("before_word")).alias("before_hash"), bucket(F.col("after_word")).alias("after_hash"),
         (F.length(F.regexp_replace("before", "[^0-9]", "")) / (F.length("before") + 1)).alias("before_digits"))
     key = ["doc_id", "text_hash", "ordinal"]
@@ -152,9 +198,8 @@ def redact(docs: DataFrame, findings: DataFrame, text_col: str = "text", id_col:
               .agg(F.collect_set("ordinal").alias("__secret")))
     text = F.col(f"`{text_col}`")
     joined = docs.join(secret, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(text.cast("string")) == F.col("__hash")), "left")
-    values, rest = F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1)), F.split(text, PATTERN, -1)
-    parts = F.transform(F.arrays_zip(rest.alias("r"), values.alias("v")), lambda x, i: F.concat(
-        x["r"], F.when(F.array_contains("__secret", i), F.lit(mark)).otherwise(F.coalesce(x["v"], F.lit("")))))
+    parts = F.transform(_pieces(text.cast("string")), lambda x, i: F.concat(
+        x["gap"], F.when(F.array_contains("__secret", i), F.lit(mark)).otherwise(F.coalesce(x["value"], F.lit("")))))
     joined = joined.withColumn("__text", F.when(F.col("__secret").isNotNull(), F.array_join(parts, "")).otherwise(text))
     cols = []
     for c in docs.columns:
