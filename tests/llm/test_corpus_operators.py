@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from textlab.llm import bbit_minhash, embedding_range, mixing, packing, repeat_removal, secret_forest
 from textlab.llm.common import components
 from textlab.llm.ranking import running_total
+from textlab.session import materialize
 
 from .llm_helpers import prose
 
@@ -417,3 +418,14 @@ def test_secrets_announced_values_of_any_length_and_alphabet(spark):
     assert not [r for r in got if r.doc_id == 200]
     out = {r.doc_id: r.text for r in secret_forest.redact(docs, found).collect()}
     assert all(out[i] == text[i].replace(a + v, a + "[secret]") for i, (a, v, _) in values.items())
+
+
+@pytest.mark.parametrize("many", [0, 1])
+def test_secrets_sample_holds_both_labels(spark, many):
+    """Copies of one candidate, and a label that is rare, do not fill the sample."""
+    docs = spark.createDataFrame([(i, f'token = "{hashlib.sha1(str(i).encode()).hexdigest()}"' if (i % 40 == 0) != bool(many) else f"see {prose(i, 30).replace(' ', '')}") for i in range(400)], DOC)
+    described = secret_forest.seed_labels(secret_forest.features(secret_forest.candidates(docs), secret_forest.dictionary(docs)))
+    described = materialize(described, "test-described")
+    copies = described.where(F.col("label") == many).orderBy(F.xxhash64(F.lit(13), "value", "before", "ordinal")).limit(1).crossJoin(spark.range(3000).select(F.col("id").alias("copy"))).drop("copy")
+    got = secret_forest.fit_score(described, described.unionByName(copies), sample=20).select("label", "score").collect()
+    assert {r.label for r in got} == {0.0, 1.0} and all((r.score >= 0.5) == (r.label == 1) for r in got)

@@ -9,8 +9,8 @@ functions and the JVM's forest; no Python runs on the executors.
 * Dictionary: letter runs counted over all documents, those with at least one occurrence in ``RARITY``, so at most
   ``RARITY`` words.  Coverage is the share of a candidate's letter 4-grams that occur in dictionary words.
 * Labels are the caller's: a column ``label`` (1 secret, 0 not, null unknown) on candidates.  ``seed_labels`` gives labels by
-  known formats where nothing was reviewed.  The forest is fitted on at most ``SAMPLE`` labelled candidates, those with the
-  smallest hash.
+  known formats where nothing was reviewed.  Copies (same label, value and text before) count once; the forest is fitted on
+  at most ``SAMPLE`` of them, half of it for each label, those with the smallest hash.  Both labels weigh the same in the forest.
 
 Cases: null and empty texts have no candidates.  Rows repeating id and text share their findings.  Without labels, or with one
 class only, the score is that class' share (0 without labels).  A null id is kept as null.  Very long texts are scanned
@@ -162,15 +162,19 @@ def seed_labels(described: DataFrame) -> DataFrame:
 
 def fit_score(described: DataFrame, labelled: DataFrame, sample: int = SAMPLE, trees: int = 40, depth: int = 8, seed: int = 13) -> DataFrame:
     """``described`` with ``score``, by a forest fitted on ``labelled`` (the same features and ``label``)."""
-    order = F.xxhash64(F.lit(seed), "value", "before", "ordinal")
-    rows = labelled.where("label is not null").select("label", order.alias("o"), *FEATURES).orderBy("o", *FEATURES).limit(sample)
-    rows = materialize(rows.coalesce(1), "findings")  # bounded; one partition, so the forest's sampling repeats
+    known = (labelled.where("label is not null").groupBy("label", "value", "before").agg(F.min(F.struct(*FEATURES)).alias("f"))
+             .select("label", F.xxhash64(F.lit(seed), "value", "before").alias("o"), "f.*"))
+    known = materialize(known, "labelled")
+    rows = [known.where(F.col("label") == c).orderBy("o", *FEATURES).limit(max(1, sample // 2)) for c in (0.0, 1.0)]
+    rows = materialize(rows[0].unionByName(rows[1]).coalesce(1), "findings")  # bounded; one partition, so the forest's sampling repeats
     classes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(classes) < 2:
         return described.withColumn("score", F.lit(float(next(iter(classes), 0.0))))
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="__x", handleInvalid="keep")
     forest = RandomForestClassifier(featuresCol="__x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="__p",
-                                    rawPredictionCol="__raw", predictionCol="__y")
+                                    rawPredictionCol="__raw", predictionCol="__y", weightCol="__weight")
+    total = sum(classes.values())
+    rows = rows.withColumn("__weight", F.when(F.col("label") == 1, total / (2.0 * classes[1.0])).otherwise(total / (2.0 * classes[0.0])))
     model = forest.fit(assemble.transform(rows.coalesce(1).sortWithinPartitions("o", *FEATURES)))
     scored = model.transform(assemble.transform(described))
     return scored.withColumn("score", vector_to_array("__p")[1]).drop("__x", "__p", "__raw", "__y")
