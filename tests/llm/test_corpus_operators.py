@@ -429,3 +429,21 @@ def test_secrets_sample_holds_both_labels(spark, many):
     copies = described.where(F.col("label") == many).orderBy(F.xxhash64(F.lit(13), "value", "before", "ordinal")).limit(1).crossJoin(spark.range(3000).select(F.col("id").alias("copy"))).drop("copy")
     got = secret_forest.fit_score(described, described.unionByName(copies), sample=20).select("label", "score").collect()
     assert {r.label for r in got} == {0.0, 1.0} and all((r.score >= 0.5) == (r.label == 1) for r in got)
+
+
+def test_secrets_announced_by_parts_of_a_name(spark):
+    values = {100: ("aws_secret_access_key=", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"), 101: ("DB_PASSWORD=", "correcthorsebatterystaple"), 102: ("client_secret = ", "zyxwvutsrqponmlkj"),
+              103: ("auth_token: ", "aaaaaaaaaa1111111111bbbb"), 104: ("antidisestablishmentarianism/password=", "abcdefghijklmnopqrst")}
+    rows = [(r.doc_id, r.text) for r in secret_docs(spark).collect()] + [(i, f"{prose(i, 20)} {a}{v} {prose(i + 7, 5)}") for i, (a, v) in values.items()]
+    rows += [(200, f"{prose(3, 9)} wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY and usr/local/share/thing and key: something")]
+    docs = spark.createDataFrame(rows, DOC)
+    found = secret_forest.candidates(docs)
+    label = {(r.doc_id, r.value): r for r in secret_forest.seed_labels(secret_forest.features(found, secret_forest.dictionary(docs))).collect()}
+    text = dict(rows)
+    for (i, v), r in label.items():
+        assert r.before == text[i][max(0, r.start - 80):r.start] and r.after == text[i][r.start + len(v):][:80]
+    for i, (a, v) in values.items():
+        assert label[i, v].announced == label[i, v].assigned == label[i, v].label == 1
+    assert [label[200, v].label for v in ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "usr/local/share/thing", "something")] == [None, 0, None]
+    got = {(r.doc_id, r.value) for r in secret_forest.scan(docs).where("is_secret").collect()}
+    assert {(i, v) for i, (_, v) in values.items()} <= got and (200, "usr/local/share/thing") not in got

@@ -34,8 +34,7 @@ CHARS = "A-Za-z0-9+/_\\-"
 #: Characters of the neighbouring text that a candidate keeps on either side, and so many matches that they fill it (with the
 #: gap, the shortest takes six characters).
 CONTEXT, NEAR = 80, 16
-#: Words that announce a credential, and words that announce a harmless identifier; fixed values.
-ANNOUNCE = ["password", "passwd", "pwd", "token", "secret", "apikey", "api_key", "key", "credential", "credentials", "auth", "bearer", "access_key", "private_key"]
+#: Words that announce a harmless identifier; fixed values.
 HARMLESS = ["commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "revision", "rev", "blob", "uuid", "guid", "hash", "id"]
 
 
@@ -53,6 +52,9 @@ VALUE = r"""(?:"(?:[^"\\\n]|\\.)++(?=")|'(?:[^'\\\n]|\\.)++(?=')|(?!(["'])\1(?!\
 PATTERN = (f"(?<![{CHARS}])(?=[{CHARS}]++[\\\\\"'`\\])]{{0,3}}[ \\t]*+[=:])(?=[{CHARS}]*?{ANNOUNCING})[{CHARS}]++{ASSIGN}{VALUE}|[{CHARS}]{{{LEAST},}}")
 #: The part of such a match before the value.
 LEAD = f"^[{CHARS}]+{ASSIGN}(?:[\"'](?=[\\s\\S]))?"
+#: Identifiers whose assigned values are credentials whatever their alphabet, in ``before``; values that are code or no value.
+STRONG = f"(?i:password|passwd|passphrase|passcode|pwd|secret)[{CHARS}]*[\\\\\"'`\\])]{{0,3}}\\s*:?=+\\s*$"
+NO_VALUE = r"""[(\[{<$]|^(?i:none|null|nil|true|false|undefined)\W*$"""
 FEATURES = ["length", "digits", "upper", "lower", "signs", "transitions", "distinct", "entropy", "coverage", "slashes", "after_path", "extension",
             "assigned", "quoted", "announced", "harmless", "before_hash", "after_hash", "before_digits"]
 
@@ -127,18 +129,18 @@ def features(found: DataFrame, grams: DataFrame) -> DataFrame:
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]+", "l"), "[A-Z]+", "U"), "[0-9]+", "9"), "[^lU9]+", ".")
     chars = F.split(v, "")
     counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
-    before_word = F.lower(F.regexp_extract("before", r"([A-Za-z0-9_]+)[^A-Za-z0-9_]*$", 1))
+    name = F.regexp_extract("before", r"([A-Za-z0-9_]+)[^A-Za-z0-9_]*$", 1)
     after_word = F.lower(F.regexp_extract("after", r"^[^A-Za-z0-9_]*([A-Za-z0-9_]+)", 1))
     bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(16)).cast("double")
     flag = lambda c: c.cast("double")
-    base = found.withColumn("before_word", before_word).withColumn("after_word", after_word).select(
+    base = found.withColumn("name", name).withColumn("before_word", F.lower("name")).withColumn("after_word", after_word).select(
         "*", n.cast("double").alias("length"), share("0-9").alias("digits"), share("A-Z").alias("upper"), share("a-z").alias("lower"),
         (F.length(F.regexp_replace(v, "[A-Za-z0-9]", "")) / n).alias("signs"), ((F.length(kinds) - 1) / n).alias("transitions"), (F.size(F.array_distinct(chars)) / n).alias("distinct"),
         F.aggregate(counts, F.lit(0.0), lambda a, p: a - p * F.log2(p)).alias("entropy"),
         flag(n - F.length(F.translate(v, "/", ""))).alias("slashes"), flag(F.col("before").rlike(r"[/\\.~]$")).alias("after_path"),
         flag(F.col("after").rlike(r"^\.[A-Za-z]{1,5}\b")).alias("extension"), flag(F.col("told") | F.col("before").rlike(r"[=:]\s*[\"']?$")).alias("assigned"),
         flag(F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")).alias("quoted"),
-        flag(F.col("told") | F.col("before_word").isin(ANNOUNCE)).alias("announced"), flag(F.col("before_word").isin(HARMLESS)).alias("harmless"),
+        flag(F.col("told") | F.col("name").rlike(ANNOUNCING)).alias("announced"), flag(F.col("before_word").isin(HARMLESS)).alias("harmless"),
         bucket(F.col("before_word")).alias("before_hash"), bucket(F.col("after_word")).alias("after_hash"),
         (F.length(F.regexp_replace("before", "[^0-9]", "")) / (F.length("before") + 1)).alias("before_digits"))
     key = ["doc_id", "text_hash", "ordinal"]
@@ -151,13 +153,17 @@ def features(found: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def seed_labels(described: DataFrame) -> DataFrame:
-    """``label`` by formats alone: 1 for issued key formats and announced, assigned values with digits; 0 for plain words, plain
-    numbers, paths and announced checksums; null for the rest."""
+    """``label`` by formats alone: 1 for issued key formats and announced, assigned values that are no plain word, short number
+    or code; 0 for plain words, plain numbers, paths and announced checksums, none of them announced and assigned; null for the
+    rest.  Two slashes make a path unless digits and both cases are mixed, as in base64."""
     v = F.col("value")
     issued = v.rlike(r"^(AKIA|ASIA)[0-9A-Z]{16}$") | v.rlike(r"^gh[opsu]_[A-Za-z0-9]{36}$") | v.rlike(r"^(sk|rk)_live_[A-Za-z0-9]{16,}$")
-    told = (F.col("announced") == 1) & (F.col("assigned") == 1) & (F.col("digits") > 0)
-    plain = (F.col("digits") == 0) | (F.col("digits") == 1) | (F.col("slashes") > 1) | (F.col("extension") == 1) | (F.col("harmless") == 1)
-    return described.withColumn("label", F.when(issued | told, 1.0).when(plain, 0.0))
+    told = (F.col("announced") == 1) & (F.col("assigned") == 1)
+    mixed = (F.col("digits") > 0) & ((F.col("digits") < 1) | (F.col("length") >= LEAST))
+    sure = (mixed | ((F.col("quoted") == 1) & ~v.rlike(r"\s")) | F.col("before").rlike(STRONG)) & ~v.rlike(NO_VALUE)
+    path = (F.col("slashes") > 1) & ~((F.col("digits") > 0) & (F.col("upper") > 0) & (F.col("lower") > 0))
+    plain = (F.col("digits") == 0) | (F.col("digits") == 1) | path | (F.col("extension") == 1) | (F.col("harmless") == 1)
+    return described.withColumn("label", F.when(issued | (told & sure), 1.0).when(~told & plain, 0.0))
 
 
 def fit_score(described: DataFrame, labelled: DataFrame, sample: int = SAMPLE, trees: int = 40, depth: int = 8, seed: int = 13) -> DataFrame:
