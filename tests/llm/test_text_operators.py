@@ -214,3 +214,27 @@ def test_lm_without_learning_rows(no_docs, odd_docs):
     assert class_lm.score(no_docs, F.lit(False)).count() == 0
     got = class_lm.score(odd_docs, F.lit(True)).collect()
     assert len(got) == 12 and all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 for r in got)
+
+
+def test_lm_every_word_has_its_own_class(spark, monkeypatch):
+    """Rare words of one ending, half of them always between nouns and half between verbs, fall into two classes."""
+    monkeypatch.setattr(class_lm, "WORDS", 40)
+    monkeypatch.setattr(class_lm, "UNITS", 1 + class_lm.ENDINGS + 40)
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(600):
+        side = "ab"[i % 2]
+        pick = [f"{side}{x}" for x in rng.integers(0, 20, 40)]
+        pick[5::8] = [f"{side}q{x}xyz" for x in rng.integers(0, 60, 5)]
+        rows.append((i, " ".join(pick)))
+    model, _, counts = class_lm.learn(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False), rounds=4)
+    words = class_lm.Words()
+    unit = dict(zip(model.head_keys.tolist(), model.head_units.tolist()))
+    of = lambda side: {int(model.classes[unit[words[f"{side}q{x}xyz".encode()]]]) for x in range(60)}
+    assert len({words[f"{s}q{x}xyz".encode()] & (class_lm.ENDINGS - 1) for s in "ab" for x in range(60)}) == 1
+    assert not of("a") & of("b")
+
+
+def test_lm_classes_follow_the_vocabulary(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 400), i -> concat('w', id * 400 + i)), ' ')").alias("text"))
+    assert class_lm.learn(docs, F.lit(False), rounds=1)[0].k == 55  # 160,000 words

@@ -4,17 +4,19 @@ Tokens are words ``[^\x20\x09-\x0D]+`` with A-Z lower-cased, then one end token
 
     P(w | previous) = P(class(w) | class(previous)) * P(w | class(w))
 
-* Units of clustering: the ``WORDS`` most frequent words one by one, every other word by its ending (``ENDINGS`` hashed
-  endings), and the end token.  So every word of any corpus has a class, known wherever the unit table is.
+* Classes: the cube root of the vocabulary, ``CLASSES`` at least.
 * Exchange clustering: in each round the corpus gives, per unit, how often each class stands before and after it; a unit
   moves to the class under which its neighbours and itself are likeliest.  Units move against the same class counts, a
-  half of them per round, so a round is one distributed count and a table of units x classes.
+  half of them per round, so a round is one distributed count and a table of units x classes.  Units of these rounds are
+  the ``WORDS`` most frequent words, the end token, and the others' ``ENDINGS`` hashed endings.
+* Then every other word moves by itself, by the classes before and after all its occurrences: a table keyed by word, against
+  the broadcast class-by-class table.  Only words never seen in learning keep the class of their ending.
 * Class transitions are smoothed towards the class frequencies.  Emissions use absolute discounting with D = n1 / (n1 +
   2 n2) from the corpus' once- and twice-seen words; the mass a class saves is its probability of a new word.
 
-Word counts cover the whole corpus.  The ``HEAD`` most frequent words are looked up in every task (a bounded table);
-all others meet their count in an equi-join on the word's hash, pre-aggregated per document, so no vocabulary of unbounded
-size is sent to the tasks or the driver.
+Word counts cover the whole corpus.  The ``WORDS`` most frequent words are looked up in every task (a bounded table); all others
+meet their count and class in an equi-join on the word's hash, pre-aggregated per document, so no vocabulary of unbounded
+size is sent to the tasks or the driver.  The model shows the classes of the ``HEAD`` most frequent words.
 
 Cases: a null or empty text is the end token alone.  Repeated rows are counted and scored row by row.  Without learning
 rows every token is unknown, the base is log10(1 / 1) = 0 a token and the model's classes are uniform.  Very long texts are
@@ -23,6 +25,7 @@ read whole.  A null id belongs to the fold of the empty text.  Extra columns are
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -32,11 +35,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlab.llm.common import WordHash, byte_rows, chunk_docs
+from textlab.llm.common import WordHash, byte_rows, chunk_docs, discard
 from textlab.session import materialize
 
+#: Classes at least.
 CLASSES = 48
-#: Words clustered one by one, hashed endings for all others, and words whose counts every task holds.
+#: Words clustered first, hashed endings for all others meanwhile, and words whose classes the model shows.
 WORDS, ENDINGS, HEAD = 8192, 1024, 1 << 16
 ROUNDS = 8
 #: Weight, in observations, of the class frequencies in a transition.
@@ -93,6 +97,7 @@ class Model:
     head_keys: np.ndarray  # sorted, unsigned
     head_counts: np.ndarray
     head_units: np.ndarray
+    k: int = CLASSES  # number of classes
     classes: np.ndarray | None = None  # per unit
     log_transition: np.ndarray | None = None  # (previous, next), log10
     log_size: np.ndarray | None = None  # log10 of a class's tokens
@@ -110,14 +115,16 @@ def _vocabulary(counts: DataFrame, texts: int) -> Model:
     unit[rank] = np.where(np.arange(len(keys)) < WORDS, 1 + ENDINGS + np.arange(len(keys)), 1 + (keys[rank] & np.uint64(ENDINGS - 1)).astype(np.int64))
     order = np.argsort(keys)
     d = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
-    return Model(n + texts, v + (texts > 0), texts, d, keys[order], num[order], unit[order])
+    return Model(n + texts, v + (texts > 0), texts, d, keys[order], num[order], unit[order], max(CLASSES, math.ceil(v ** (1 / 3))))
 
 
 def unit_texts(docs: DataFrame, model: Model, held_out: Column, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per document: its unit sequence, the sums over its frequent words, and its other words with their counts."""
+    """One row per document: its sequence of units, with -1 - i for its i-th other word, the sums over its words with a unit, and
+    its other words with their counts."""
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"),
                       held_out.alias("held_out"), F.monotonically_increasing_id().alias("row"))
-    keys, num, unit = model.head_keys, model.head_counts, model.head_units
+    own = model.head_units > ENDINGS
+    keys, num, unit = model.head_keys[own], model.head_counts[own], model.head_units[own]
     log_known, log_base = np.log10(np.maximum(num - model.discount, 1e-9)), np.log10(num + 1.0)
 
     def run(it):
@@ -127,7 +134,7 @@ def unit_texts(docs: DataFrame, model: Model, held_out: Column, text_col: str =
             for text in byte_rows(batch, "text"):
                 toks = (text or b"").lower().split()
                 k = words.of(toks)
-                u = 1 + (k & np.uint64(ENDINGS - 1)).astype(np.int64)
+                u = np.zeros(len(k) + 1, np.int64)
                 tail = np.ones(len(k), bool)
                 known = base = 0.0
                 if len(keys) and len(k):
@@ -135,10 +142,12 @@ def unit_texts(docs: DataFrame, model: Model, held_out: Column, text_col: str =
                     hit = keys[at] == k
                     tail = ~hit
                     at = at[hit]
-                    u[hit] = unit[at]
+                    u[:-1][hit] = unit[at]
                     known, base = float(log_known[at].sum()), float(log_base[at].sum())
-                rare, times = np.unique(k[tail], return_counts=True)
-                out.append((np.append(u, 0).astype("<i2").tobytes(), len(k), int(len(k) - tail.sum()), known, base, rare.view(np.int64), times))
+                rare, place, times = np.unique(k[tail], return_inverse=True, return_counts=True)
+                u[:-1][tail] = -1 - place
+                kind = "<i2" if len(rare) <= 1 << 15 else "<i4"
+                out.append((u.astype(kind).tobytes(), len(k), int(len(k) - tail.sum()), known, base, rare.view(np.int64), times))
             cols = list(zip(*out)) if out else [()] * 7
             types = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
@@ -149,32 +158,47 @@ def unit_texts(docs: DataFrame, model: Model, held_out: Column, text_col: str =
                                "rare array<long>, times array<long>")
 
 
-def _pairs(units: DataFrame, classes: np.ndarray, by_unit: bool) -> np.ndarray:
-    """Counts over all learning texts: (2, UNITS, CLASSES) of classes before and after each unit, or (CLASSES, CLASSES) of
-    class transitions.  A task adds up its own and sends what is not zero."""
-    rows = UNITS if by_unit else CLASSES
+def _tokens(batch: pa.RecordBatch, values: str = "rare") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The unit sequences of a batch one after another, the places of words without a unit, these words' entries in
+    ``values``, and the lengths."""
+    n = batch.column("n_words").to_numpy() + 1
+    u = [np.frombuffer(b, "<i2" if len(b) == 2 * m else "<i4") for b, m in zip(batch.column("units").to_pylist(), n)]
+    u = np.concatenate([np.zeros(0, np.int64), *u]).astype(np.int64)
+    lists = batch.column(values)
+    size = lists.value_lengths().fill_null(0).to_numpy()
+    at = np.flatnonzero(u < 0)
+    return u, at, lists.flatten().to_numpy()[np.repeat(np.cumsum(size) - size, n)[at] - u[at] - 1], n
+
+
+def _pairs(units: DataFrame, classes: np.ndarray | None, k: int) -> np.ndarray:
+    """Counts over all learning texts: (2, UNITS, k) of classes before and after each unit, or, of texts as classes, (k, k) of
+    transitions.  A task adds up its own and sends what is not zero."""
+    by_unit = classes is not None
+    rows = UNITS if by_unit else k
 
     def run(it):
-        before, after = np.zeros(rows * CLASSES, np.int64), np.zeros(rows * CLASSES, np.int64)
+        before, after = np.zeros(rows * k, np.int64), np.zeros(rows * k if by_unit else 0, np.int64)
         for batch in chunk_docs(it, 1024):
-            seq = [np.frombuffer(b, "<i2") for b in batch.column(0).to_pylist()]
-            if not seq:
+            if not batch.num_rows:
                 continue
-            u = np.concatenate([np.zeros(1, "<i2"), *seq]).astype(np.int64)  # each text follows an end token
-            c = classes[u]
             if by_unit:
-                before += np.bincount(u[1:] * CLASSES + c[:-1], minlength=len(before))
-                after += np.bincount(u[:-1] * CLASSES + c[1:], minlength=len(after))
+                u, at, keys, _ = _tokens(batch)
+                u[at] = 1 + (keys & (ENDINGS - 1))
+                u = np.concatenate([np.zeros(1, np.int64), u])  # each text follows an end token
+                c = classes[u]
+                before += np.bincount(u[1:] * k + c[:-1], minlength=len(before))
+                after += np.bincount(u[:-1] * k + c[1:], minlength=len(after))
             else:
-                before += np.bincount(c[:-1] * CLASSES + c[1:], minlength=len(before))
+                c = np.concatenate([np.zeros(1, "<i2"), *[np.frombuffer(b, "<i2") for b in batch.column(0).to_pylist()]]).astype(np.int64)
+                before += np.bincount(c[:-1] * k + c[1:], minlength=len(before))
         for side, n in enumerate((before, after)[: 1 + by_unit]):
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(at + side * len(n), pa.int64()), pa.array(n[at], pa.int64())], ["cell", "n"])
 
-    got = units.select("units").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros((1 + by_unit) * rows * CLASSES)
+    got = units.select(*(("units", "rare", "n_words") if by_unit else ("classes",))).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((1 + by_unit) * rows * k)
     out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape((2, UNITS, CLASSES) if by_unit else (CLASSES, CLASSES))
+    return out.reshape((2, UNITS, k) if by_unit else (k, k))
 
 
 def _transitions(n: np.ndarray) -> np.ndarray:
@@ -182,14 +206,14 @@ def _transitions(n: np.ndarray) -> np.ndarray:
     return (n + SMOOTH * freq) / (n.sum(axis=1, keepdims=True) + SMOOTH)
 
 
-def cluster(units: DataFrame, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
+def cluster(units: DataFrame, k: int = CLASSES, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
     """Class of every unit by exchange; the end token keeps class 0 to itself."""
     rng = np.random.default_rng(seed)
-    classes = 1 + np.arange(UNITS) % (CLASSES - 1)
+    classes = 1 + np.arange(UNITS) % (k - 1)
     classes[0] = 0
     for r in range(rounds):
-        n = _pairs(units, classes, by_unit=True)
-        member = np.zeros((UNITS, CLASSES))
+        n = _pairs(units, classes, k)
+        member = np.zeros((UNITS, k))
         member[np.arange(UNITS), classes] = 1
         p = np.log(_transitions(member.T @ n[1]))
         seen = n[0].sum(axis=1)
@@ -207,65 +231,136 @@ def cluster(units: DataFrame, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray
     return classes
 
 
+def word_classes(units: DataFrame, classes: np.ndarray, k: int) -> DataFrame:
+    """``key, class, n`` of every learnt word without a unit: the class under which all its neighbours and itself are likeliest.
+
+    A word's occurrences arrive sorted and are added up in pieces, so a frequent word is never held whole."""
+    n = _pairs(units, classes, k)
+    member = np.zeros((UNITS, k))
+    member[np.arange(UNITS), classes] = 1
+    p = np.log(_transitions(member.T @ n[1]))
+    size = np.log(np.maximum(1.0, member.T @ n[0].sum(axis=1)))
+    size[0] = np.inf  # the end token keeps its class to itself
+    after, ending = np.ascontiguousarray(p.T), classes[1:1 + ENDINGS]
+
+    def neighbours(it):
+        for batch in chunk_docs(it, 1024):
+            u, at, keys, _ = _tokens(batch)
+            u[at] = 1 + (keys & (ENDINGS - 1))
+            c = np.concatenate([np.zeros(1, np.int64), classes[u]])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(c[at] * k + c[at + 2], pa.int32())], ["key", "pair"])
+
+    def choose(it):
+        have = None
+
+        def moved(keys, gain, count):
+            gain[np.arange(len(keys)), ending[keys & (ENDINGS - 1)]] += 1e-9  # at a tie a word stays
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(gain.argmax(axis=1), pa.int32()), pa.array(count, pa.int64())], ["key", "class", "n"])
+
+        for batch in chunk_docs(it, 8192):
+            if not batch.num_rows:
+                continue
+            key, pair = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            gain = np.add.reduceat(p[pair // k] + after[pair % k] - size, at, axis=0)
+            keys, count = key[at], np.diff(np.append(at, len(key)))
+            if have and have[0][0] == keys[0]:
+                gain[0] += have[1][0]
+                count[0] += have[2][0]
+            elif have:
+                yield moved(*have)
+            if len(keys) > 1:
+                yield moved(keys[:-1], gain[:-1], count[:-1])
+            have = keys[-1:], gain[-1:].copy(), count[-1:]
+        if have:
+            yield moved(*have)
+
+    seen = units.select("units", "rare", "n_words").mapInArrow(neighbours, "key long, pair int")
+    return seen.repartition("key").sortWithinPartitions("key", "pair").mapInArrow(choose, "key long, class int, n long")
+
+
+def class_texts(units: DataFrame, words: DataFrame, model: Model) -> DataFrame:
+    """``units`` with the sequences as classes, and the sums over words without a unit."""
+    classes, own = model.classes, [(e, int(model.classes[1 + e]), float(model.log_new[model.classes[1 + e]])) for e in range(ENDINGS)]
+    endings = units.sparkSession.createDataFrame(own, "ending int, ending_class int, log_new double")
+    rare = units.select("row", F.posexplode(F.arrays_zip("rare", "times")).alias("i", "x")).select("row", "i", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
+    rare = (rare.join(words, "key", "left")
+            .join(F.broadcast(endings), F.col("key").bitwiseAND(F.lit(ENDINGS - 1)) == F.col("ending"))
+            .groupBy("row").agg(
+                F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("r_known"),
+                F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("r_base"),
+                F.sum(F.col("times") * F.when(F.col("n").isNotNull(), F.log10(F.col("n") - F.lit(model.discount))).otherwise(F.col("log_new"))).alias("r_score"),
+                F.array_sort(F.collect_list(F.struct("i", F.coalesce("class", "ending_class").alias("class")))).alias("own")))
+    rare = rare.withColumn("own", F.col("own.class"))
+
+    def run(it):
+        for batch in chunk_docs(it, 1024):
+            u, at, own, n = _tokens(batch, "own")
+            c = classes[np.maximum(u, 0)]
+            c[at] = own
+            c = c.astype("<i2")
+            ends = np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([pa.array([c[e - m:e].tobytes() for e, m in zip(ends, n)], pa.binary()), *batch.columns[2:]], ["classes", *batch.schema.names[2:]])
+
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("double").alias(c)
+    return (units.join(rare, "row", "left")
+            .select("units", "own", "n_words", "doc_id", "held_out", "n_head", "known", "base", *[zero(c) for c in ("r_known", "r_base", "r_score")])
+            .mapInArrow(run, "classes binary, n_words long, doc_id long, held_out boolean, n_head long, known double, base double, r_known double, "
+                             "r_base double, r_score double"))
+
+
 def learn(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str = "doc_id", rounds: int = ROUNDS) -> tuple[Model, DataFrame, DataFrame]:
-    """The model of the rows that are not held out, the unit table of all rows and the word counts."""
+    """The model of the rows that are not held out, all rows as class sequences and the word counts."""
     known = docs.where(~held_out)
     counts = materialize(word_counts(known, text_col), "words")
     model = _vocabulary(counts, known.count())
     units = materialize(unit_texts(docs, model, held_out, text_col, id_col), "units")
     train = units.where(~F.col("held_out"))
-    model.classes = cluster(train, rounds)
-    model.log_transition = np.log10(_transitions(_pairs(train, model.classes, by_unit=False)))
-    # tokens and types of every class, from the whole vocabulary: the endings' totals less the words clustered one by one
-    per = counts.groupBy((F.col("key").bitwiseAND(F.lit(ENDINGS - 1))).alias("e")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow()
-    n_unit, v_unit = np.zeros(UNITS), np.zeros(UNITS)
-    n_unit[1 + per.column("e").to_numpy()] = per.column("n").to_numpy()
-    v_unit[1 + per.column("e").to_numpy()] = per.column("v").to_numpy()
+    model.classes = cluster(train, model.k, rounds)
+    words = materialize(word_classes(train, model.classes, model.k), "word-classes")
+    # tokens and types of every class
     own = model.head_units > ENDINGS
-    ending = 1 + (model.head_keys[own] & np.uint64(ENDINGS - 1)).astype(np.int64)
-    np.subtract.at(n_unit, ending, model.head_counts[own])
-    np.subtract.at(v_unit, ending, 1)
-    n_unit[model.head_units[own]], v_unit[model.head_units[own]] = model.head_counts[own], 1
-    size, kinds = np.bincount(model.classes, weights=n_unit, minlength=CLASSES), np.bincount(model.classes, weights=v_unit, minlength=CLASSES)
+    at = model.classes[model.head_units[own]]
+    size, kinds = np.bincount(at, weights=model.head_counts[own], minlength=model.k), np.bincount(at, minlength=model.k).astype(float)
+    per = words.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow()
+    size[per.column("class").to_numpy()] += per.column("n").to_numpy()
+    kinds[per.column("class").to_numpy()] += per.column("v").to_numpy()
     size[0], kinds[0] = max(1, model.texts), 0  # the end token is always the end token
     size[1:][kinds[1:] == 0] = 1
     model.log_size = np.log10(size)
     model.log_new = np.log10(np.where(kinds > 0, model.discount * kinds, 1.0))
-    return model, units, counts
+    # the other shown words get units of their own
+    more = words.orderBy(F.desc("n"), "key").limit(HEAD - WORDS).toArrow()
+    place = np.searchsorted(model.head_keys, more.column("key").to_numpy().view(np.uint64))
+    model.head_units[place] = UNITS + np.arange(len(place))
+    model.classes = np.concatenate([model.classes, more.column("class").to_numpy()])
+    texts = materialize(class_texts(units, words, model), "class-texts")
+    discard(units)
+    model.log_transition = np.log10(_transitions(_pairs(texts.where(~F.col("held_out")), None, model.k)))
+    return model, texts, counts
 
 
 def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
-    model, units, counts = learn(docs, held_out, text_col, id_col, rounds)
-    trans, size, classes = model.log_transition, model.log_size, model.classes
+    model, texts, _ = learn(docs, held_out, text_col, id_col, rounds)
+    trans, size = model.log_transition, model.log_size
     end_score = float(np.log10(model.texts)) if model.texts else 0.0
-    spark = docs.sparkSession
-    new = spark.createDataFrame([(e, float(model.log_new[classes[1 + e]])) for e in range(ENDINGS)], "ending int, log_new double")
 
     def run(it):
         for batch in chunk_docs(it, 2048):
             got = []
             for b in batch.column(0).to_pylist():
-                c = classes[np.frombuffer(b, "<i2")]
-                before = np.concatenate([[0], c[:-1]])
+                c = np.frombuffer(b, "<i2")
+                before = np.concatenate([np.zeros(1, "<i2"), c[:-1]])
                 got.append(float(trans[before, c].sum() - size[c].sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(got, pa.float64())], [*batch.schema.names[1:], "path"])
 
-    whole = (units.select("units", "row", "doc_id", "held_out", "n_words", "n_head", "known", "base")
-             .mapInArrow(run, "row long, doc_id long, held_out boolean, n_words long, n_head long, known double, base double, path double"))
-    rare = units.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
-    new = new.select("ending", "log_new")
-    rare = (rare.join(counts, "key", "left")
-            .join(F.broadcast(new), F.col("key").bitwiseAND(F.lit(ENDINGS - 1)) == F.col("ending"))
-            .groupBy("row").agg(
-                F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("r_known"),
-                F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("r_base"),
-                F.sum(F.col("times") * F.when(F.col("n").isNotNull(), F.log10(F.col("n") - F.lit(model.discount))).otherwise(F.col("log_new"))).alias("r_score")))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    whole = texts.mapInArrow(run, "n_words long, doc_id long, held_out boolean, n_head long, known double, base double, r_known double, r_base double, "
+                                  "r_score double, path double")
     tokens = F.col("n_words") + 1
     norm = float(np.log10(model.tokens + model.types + 1.0))
-    return whole.join(rare, "row", "left").select(
+    return whole.select(
         "doc_id", "held_out", tokens.cast("long").alias("n_tokens"),
-        (F.col("n_head") + zero("r_known") + int(model.texts > 0)).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("r_base") + F.lit(float(np.log10(model.texts + 1.0))) - tokens * norm).alias("base_score"),
-        (F.col("path") + F.col("known") + zero("r_score") + F.lit(end_score)).alias("score"))
+        (F.col("n_head") + F.col("r_known") + int(model.texts > 0)).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + F.col("r_base") + F.lit(float(np.log10(model.texts + 1.0))) - tokens * norm).alias("base_score"),
+        (F.col("path") + F.col("known") + F.col("r_score") + F.lit(end_score)).alias("score"))
