@@ -35,13 +35,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five words, similarity 0.8) stays, the one with the smallest id.
 
-    Of rows repeating an id one stays; rows without an id stay."""
+    Where ids repeat, rows are told apart by id, text and source, so unrelated texts of one id stay; rows without an id stay."""
     prepare(spark)
-    groups = near_duplicates(docs, k=5, threshold=80).where(F.col("doc_id").isNotNull())
-    kept = groups.where("kept").select("doc_id").distinct()
-    out = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    if docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").take(1):
-        out = out.dropDuplicates(["doc_id"])
+    named = docs.where(F.col("doc_id").isNotNull())
+    if named.groupBy("doc_id").count().where("count > 1").take(1):
+        named = materialize(named.withColumn("__row", F.xxhash64("doc_id", "text", "source")).dropDuplicates(["__row"]), "named")
+        groups = near_duplicates(named, k=5, threshold=80, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+        kept = named.select("__row", "doc_id").join(groups, "__row").groupBy("component_id").agg(F.min(F.struct("doc_id", "__row"))["__row"].alias("__row"))
+        out = named.join(kept.hint("merge"), "__row", "left_semi").select(*docs.columns)
+    else:
+        groups = near_duplicates(docs, k=5, threshold=80).where(F.col("doc_id").isNotNull())
+        kept = groups.where("kept").select("doc_id").distinct()
+        out = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     return out.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

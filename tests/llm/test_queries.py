@@ -154,3 +154,20 @@ def test_tables_of_nulls(spark):
     docs = spark.createDataFrame([(None, None, None, None, None)] * 3, "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF001).count() in (0, 3)
+
+
+def test_pipeline_keeps_unrelated_rows_of_one_id(spark):
+    """Rows that share an id, or have none, are rows of their own in near_dedup and mixing."""
+    from .llm_helpers import prose
+    copy = prose(1, 80)
+    texts = [(7, prose(i, 50 + i), "a") for i in range(6)] + [(7, copy, "a"), (3, copy, "b"), (7, copy, "a"), (9, prose(50, 60), "b")]
+    texts += [(None, prose(100 + i, 40), "ab"[i % 2]) for i in range(20)] + [(None, prose(300, 40), "b")] * 2
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = materialize(corpus_pipeline.near_dedup(spark, docs, SF001), "test-rows")
+    want = [x for x in texts if not (x[0] == 7 and x[1] == copy)]
+    assert sorted((r.text, r.source) for r in kept.collect()) == sorted(x[1:] for x in want)
+    got = mixing.mixed_documents(kept).collect()
+    goal = mixing.targets([sum(len(t.split()) for _, t, s in want if s == x) for x in "ab"])
+    for x, words in zip("ab", goal):
+        assert abs(sum(len(r.text.split()) for r in got if r.source == x) - words) <= 1
+    assert max(collections.Counter(r.text for r in got if len(r.text.split()) == 40).values()) <= 8

@@ -169,19 +169,23 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The mixture itself, with the columns of ``docs``: one row per copy, by shard and shuffled inside it.
 
     The copy cut at its source's target keeps its first words, joined by spaces; a column ``n_chars`` follows the text.
-    Documents taken 0 words are left out.  Rows that repeat an id at the same size take the copies of one of them."""
+    Documents taken 0 words are left out.  Rows meet their copies by a hash of all columns, so each row takes its own, also where
+    ids repeat or are null; rows equal in all columns are interchangeable."""
+    names = docs.columns
+    docs = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in names if "map<" not in docs.schema[c].dataType.simpleString()]))
+    options["carry"] = [*options.get("carry", ()), "__row"]
     copies = (mix(docs, text_col=text_col, id_col=id_col, **options)
-              .select(F.col(f"`{id_col}`").alias("__id"), F.col("size").alias("__size"), F.explode("copies").alias("__c"))
-              .select("__id", "__size", "__c.*").dropDuplicates(["__id", "__size", "epoch"])
-              .select("__id", "__size", F.struct("words", "shard", "place", "epoch").alias("__c")))
+              .select(F.col(f"`{id_col}`").alias("__id"), F.col("__row").alias("__own"), F.explode("copies").alias("__c"))
+              .select("__id", "__own", F.struct("__c.words", "__c.shard", "__c.place", "__c.epoch").alias("__c")))
     text = F.col(f"`{text_col}`")
     size = F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD_RE)), F.lit(0)).cast("long")
-    joined = docs.withColumn("__n", size).join(copies, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
+    docs = docs.dropDuplicates(["__row", id_col])
+    joined = docs.withColumn("__n", size).join(copies, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__own")))
     cut = F.col("__c.words") < F.col("__n")
     first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD_RE})"), F.lit(1)), F.lit(1), F.col("__c.words").cast("int")), " ")
     joined = joined.withColumn("__text", F.when(cut, first).otherwise(text))
     cols = []
-    for c in docs.columns:
+    for c in names:
         if c == text_col:
             cols.append(F.col("__text").alias(c))
         elif c == "n_chars":
