@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlab.llm.bbit_minhash import near_duplicates
-from textlab.llm.common import fold, prepare
+from textlab.llm.common import prepare
 from textlab.llm.language_mix import identify, learn
 from textlab.llm.mixing import mixed_documents
 from textlab.llm.packing import pack
@@ -24,10 +24,10 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter or without a leading language go."""
+    """Documents without a letter or without a leading language go; all rows that name a language teach it."""
     prepare(spark)
     names = docs.columns
-    model = learn(docs.where(fold("doc_id", 3) != 1))
+    model = learn(docs)
     kept = identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SHARE))
     return kept.select(*[F.col(f"`{c}`") for c in names])
 

@@ -12,7 +12,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from textlab.llm import mixing
+from textlab.llm import language_mix, mixing
 from textlab.session import materialize
 
 from .conftest import SF001
@@ -171,3 +171,14 @@ def test_pipeline_keeps_unrelated_rows_of_one_id(spark):
     for x, words in zip("ab", goal):
         assert abs(sum(len(r.text.split()) for r in got if r.source == x) - words) <= 1
     assert max(collections.Counter(r.text for r in got if len(r.text.split()) == 40).values()) <= 8
+
+
+def test_pipeline_learns_languages_of_every_fold(spark, documents, monkeypatch):
+    """A language whose documents all fall into fold 1 of three is learned."""
+    ids = [i for i in range(10**6, 10**6 + 60) if zlib.crc32(str(i).encode()) % 3 == 1][:9]
+    rare = spark.createDataFrame([(i, "привет мир это русский текст " * 30, "ru", "a", 870) for i in ids], documents.schema)
+    seen = []
+    monkeypatch.setattr(corpus_pipeline, "learn", lambda docs: seen.append(language_mix.learn(docs)) or seen[0])
+    kept = corpus_pipeline.language_id(spark, documents.unionByName(rare), SF001)
+    assert kept.where("lang = 'ru'").count() == len(ids)
+    assert "ru" in seen[0].languages
