@@ -10,17 +10,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import class_lm
+from textlab.llm import bpe_replay, class_lm, turn_repair
 from textlab.llm import common as C
 from textlab.llm.bbit_minhash import near_duplicates
 from textlab.llm.embedding_range import range_join
 from textlab.llm.language_mix import identify, learn
 from textlab.llm.mixing import mix
 from textlab.llm.packing import pack
+from textlab.llm.periodic_runs import periodic_runs
 from textlab.llm.quality_mil import fit, score
 from textlab.llm.quality_rules import apply_rules
 from textlab.llm.repeat_removal import remove_repeats
 from textlab.llm.secret_forest import scan
+from textlab.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -147,3 +149,68 @@ def op6_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in all whole texts with the forest's verdict; the value itself is not returned."""
     return scan(C.documents(spark, sf_dir)).select("doc_id", "ordinal", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
+@register("op11_bpe_replay")
+def op11_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as byte-level BPE ids, and decoded again."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe_replay.encode(C.documents(spark, sf_dir), path, public_tokenizers.PATTERN, keep=["doc_id"], chunks=bpe_replay.CHUNKS)
+    digests = ids.withColumn("ids_sha256", F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256))
+    return bpe_replay.decode(digests, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """The contract's input of op12: a tenth of the texts, by the hash of the id, repeat a stretch of words to their end."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    words = F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({C.WORD_RE})"), F.lit(1)))
+    damaged = (docs.select("doc_id", "text", words.alias("w"), F.floor(h / 10).alias("g"))
+               .withColumn("n", F.size("w")).withColumn("a", F.expr("cast(if(n > 0, g % n, 0) as int)"))
+               .withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)")))
+    tail = "flatten(array_repeat(slice(w, a + 1, p), cast(ceil((n - a) / p) as int)))"
+    text = F.expr(f"case when n > 0 then array_join(slice(concat(slice(w, 1, a), {tail}), 1, n), ' ') else text end")
+    return damaged.select("doc_id", text.alias("text"))
+
+
+@register("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every whole text, and the texts without their repetitions."""
+    found = periodic_runs(repeated_tails(C.documents(spark, sf_dir)), keep=["doc_id"])
+    first = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    best = found.withColumn("best", first)
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.col2")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.col3")).alias("period"), F.expr("1000 * best.length div -best.col3").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """The contract's input of op13: rows are dropped, emptied, cut, repeated or given to the user by a hash of their place."""
+    blank = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    hit = turns.withColumn("hit", F.crc32(key) % 20).where("hit != 0")
+    text = F.when(F.col("hit") == 1, "").when(F.col("hit") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("hit") == 4, "user").otherwise(F.col("role"))
+    rows = hit.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.when(F.col("hit") == 3, 2).otherwise(1).alias("n"))
+    return rows.withColumn("copy", F.explode(F.expr("sequence(1, n)"))).drop("n", "copy")
+
+
+@register("op13_turn_repair")
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations aligned with the grammar of turns: faults, least cost, audit and repaired text of each."""
+    C.prepare(spark)
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"),
+                                                                         F.coalesce("text", F.lit(" ")).alias("text"))
+    rows = damaged_turns(turns)
+    report = materialize(turn_repair.audits(rows), "audits")
+    hashes = turn_repair.repaired_hashes(rows, report)
+    every = turns.select(F.col("conv_id").alias("id")).distinct()
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    both = report.withColumnRenamed("conv_id", "a").join(hashes.withColumnRenamed("conv_id", "b"), F.expr("a <=> b")).withColumn("found", F.lit(True))
+    return every.join(both, F.expr("id <=> a and found"), "left").select(
+        F.col("id").alias("conv_id"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
