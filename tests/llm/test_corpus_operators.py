@@ -306,6 +306,17 @@ def test_pieces_are_the_tokenizers_ids(spark, documents):
     assert n == len(got)
 
 
+def test_special_marks_in_any_case():
+    """Only marks in the tokenizer's own spelling are special tokens, alone, inside words and beyond the word cache."""
+    rng = random.Random(4)
+    marks = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|startoftext|>", "<|", "|>", "É<|x|>", "AB<|endoftext|>CD",
+             "ab<|ENDOFTEXT|>CD", "İ<|endoftext|>ẞ", "x" * 70 + "<|endoftext|>Y", " ", "\n", "WORLD", "a", "É", "É", "1"]
+    enc, tok = packing.Encoder(word_file(), limit=20), Tokenizer.from_file(word_file())
+    for _ in range(2000):
+        text = "".join(rng.choice(marks) for _ in range(rng.randint(1, 9)))
+        assert np.frombuffer(enc.ids(text.encode()), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_other_tokenizers_encode_whole_texts():
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -105,7 +105,11 @@ class Encoder:
         if not self.by_word:
             return self._whole(text.decode())
         known, word = self.words.get, self._word
-        return b"".join([known(w) or word(w) for w in text.lower().split()])
+        if b"<|" in text:  # special tokens are matched before letters become small: such words stay as they are
+            words = [w if b"<|" in w else w.lower() for w in text.split()]
+        else:
+            words = text.lower().split()
+        return b"".join([known(w) or word(w) for w in words])
 
 
 _ENCODERS: dict[str, Encoder] = {}
