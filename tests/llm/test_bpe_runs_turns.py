@@ -81,6 +81,18 @@ def test_encode_decode_cases(odd_docs, no_docs, library):
     for r in rows:
         assert r["size"] == library.encode_ordinary(r.text or "") and bytes(r["kept"]) == (r.text or "").encode()
     assert bpe_replay.encode(no_docs, PATH, public_tokenizers.PATTERN).collect() == []
+    digests = bpe_replay.round_trip(odd_docs.withColumn("n_tokens", odd_docs.lang), PATH, public_tokenizers.PATTERN).collect()
+    assert len(digests) == len(rows) and bpe_replay.round_trip(no_docs, PATH, public_tokenizers.PATTERN).collect() == []
+    for r in digests:
+        ids = library.encode_ordinary(r.text or "")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(r.text or ""))
+
+
+def test_ids_outside_the_vocabulary_are_an_error(spark):
+    for ids in ([70_000], [-1], [None]):
+        with pytest.raises(Exception, match="outside the vocabulary"):
+            bpe_replay.decode(spark.createDataFrame([(ids,)], "ids array<int>"), PATH).collect()
+    assert bytes(bpe_replay.decode(spark.createDataFrame([(None,)], "ids array<int>"), PATH).first().decoded) == b""
 
 
 def test_query_bpe(spark, documents, library):

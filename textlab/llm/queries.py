@@ -94,9 +94,9 @@ def op10_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op4_source_mix")
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents mixed to the sources' target weights."""
+    """All documents mixed to the sources' target weights, with the shard and place of every copy that the mix takes."""
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
-    return mix(C.documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return mix(C.documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies")
 
 
 @register("op5_best_fit_packing")
@@ -157,10 +157,7 @@ def op11_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe_replay.encode(C.documents(spark, sf_dir), path, public_tokenizers.PATTERN, keep=["doc_id"], chunks=bpe_replay.CHUNKS)
-    digests = ids.withColumn("ids_sha256", F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256))
-    return bpe_replay.decode(digests, path).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe_replay.round_trip(C.documents(spark, sf_dir), path, public_tokenizers.PATTERN, keep=["doc_id"], chunks=bpe_replay.CHUNKS)
 
 
 def repeated_tails(docs: DataFrame) -> DataFrame:
