@@ -74,3 +74,30 @@ def test_empty_intersection_gives_null_row(spark):
     empty = spark.createDataFrame([], "word string, o1 bigint, o2 bigint")
     r = cmp.power_divergence(empty).first()
     assert r["chi2"] is None and r["dof"] == -1
+
+
+def test_log_tails_keep_their_accuracy():
+    """Against closed forms where the tail itself is 0: even degrees of freedom, two degrees of t, and sums in log space."""
+    from textlab.functions.special import ln_chi2_sf, ln_t_sf
+
+    def log_sum(terms):
+        m = max(terms)
+        return m + math.log(math.fsum(math.exp(t - m) for t in terms))
+
+    for dof in (2, 4, 60, 2000, 40_000):
+        for ratio in (0.5, 1.01, 1.3, 3, 50, 400):
+            x = dof * ratio / 2
+            want = -x + log_sum([k * math.log(x) - math.lgamma(k + 1) for k in range(dof // 2)])
+            assert ln_chi2_sf(2 * x, dof) == pytest.approx(want, rel=1e-6, abs=1e-9)
+    assert ln_chi2_sf(1e5, 3) == pytest.approx(-5e4 + 0.5 * math.log(2e5 / math.pi), abs=1e-4)
+    assert ln_chi2_sf(4e6, 2e6) < -3e5 and ln_chi2_sf(4e6, 2e6) == pytest.approx(ln_chi2_sf(4e6, 2e6 + 2), rel=1e-4)
+    for t in (0.5, 3, 1e3, 1e9):
+        assert ln_t_sf(t, 2) == pytest.approx(math.log(1 / (math.sqrt(2 + t * t) * (math.sqrt(2 + t * t) + t))), rel=1e-9)
+    for dof in (50, 5000, 300_000):
+        for rho2 in (0.01, 0.2, 0.9):
+            a, x = dof / 2, 1 - rho2
+            terms = [math.lgamma(a + 0.5 + i) - math.lgamma(a + 0.5) + math.lgamma(a + 1) - math.lgamma(a + 1 + i) + i * math.log(x) for i in range(6000)]
+            want = log_sum(terms) + math.lgamma(a + 0.5) - math.lgamma(a) - math.log(math.pi) / 2 + a * math.log(x) + math.log(rho2) / 2 - math.log(2 * a)
+            assert ln_t_sf(math.sqrt(dof * rho2 / x), dof) == pytest.approx(want, rel=1e-6)
+    assert ln_t_sf(-1.0, 10) == pytest.approx(math.log(1 - math.exp(ln_t_sf(1.0, 10))), rel=1e-9)
+    assert math.isnan(ln_chi2_sf(float("nan"), 3)) and ln_chi2_sf(math.inf, 3) == -math.inf and ln_chi2_sf(0, 3) == 0

@@ -1,11 +1,13 @@
 """Dictionary segmentation and the streaming word count."""
 
 
-from textlab.operators.freq import word_freq
+from pyspark.sql import functions as F
+
+from textlab.operators.freq import merge_freq, word_freq
 from textlab.operators.segment import segment
 from textlab.session import scratch_path
 from textlab.sources.delimited import write_lines
-from textlab.streaming.word_count import run_to_table, stream_word_freq
+from textlab.streaming.word_count import read_log, run_to_log, stream_words
 
 from conftest import SF001
 
@@ -27,7 +29,48 @@ def test_stream_count_equals_batch(spark):
     src = scratch_path(spark, "t-stream")
     write_lines(docs.select("text", "lang"), src, "text", partition_by=["lang"])
     out = scratch_path(spark, "t-stream-out")
-    run_to_table(stream_word_freq(spark, src, max_files_per_trigger=1), out, scratch_path(spark, "t-stream-ck"))
-    got = spark.read.parquet(out)
+    assert read_log(spark, out).count() == 0
+    checkpoint = scratch_path(spark, "t-stream-ck")
+    run_to_log(stream_words(spark, src, max_files_per_trigger=1), out, checkpoint)
+    got = read_log(spark, out)
     want = word_freq(docs, remove_stop_words=False, pattern=r"[\p{L}\p{M}\p{N}]+", lower=True)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    # files that arrive later are counted by a second run, alone; nothing twice
+    write_lines(docs.limit(3).select("text", F.lit("more").alias("lang")), src + "/late", "text", partition_by=["lang"])
+    run_to_log(stream_words(spark, src), out, checkpoint)
+    run_to_log(stream_words(spark, src), out, checkpoint)
+    late = word_freq(docs.limit(3), remove_stop_words=False, pattern=r"[\p{L}\p{M}\p{N}]+", lower=True)
+    want = merge_freq(want, late)
+    got = read_log(spark, out)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_only_matches_travel(spark, monkeypatch):
+    """Many word lengths, characters of all planes, shared prefixes: rows are the matches, also with tables so small that most
+    hits are false."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from textlab.operators import segment as sg
+    rng = random.Random(7)
+    letters = "abกข漢😀"
+    words = {"".join(rng.choices(letters, k=rng.randint(1, 60 if i % 9 == 0 else 6))) for i in range(400)} | {"a" * n for n in (2, 3, 50)}
+    texts = ["".join(rng.choice([rng.choice(sorted(words)), rng.choice(letters), "z"]) for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["a" * 3000, "z" * 500]
+
+    def plain(t):
+        got, i = [], 0
+        while i < len(t):
+            n = max((n for n in range(1, 61) if t[i:i + n] in words and len(t[i:i + n]) == n), default=1)
+            got.append(t[i:i + n])
+            i += n
+        return got
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    dictionary = spark.createDataFrame([(w,) for w in sorted(words)], "w string")
+    matches = sum(t[i:i + n] in words for t in set(texts) for i in range(len(t)) for n in range(1, min(60, len(t) - i) + 1))
+    keyed = df.dropDuplicates(["text"]).where("text != ''").select(F.col("id").cast("string").alias("_k"), F.col("text").alias("_t"))
+    assert matches <= sg.spans(keyed, dictionary).count() <= 1.02 * matches
+    for bits in (sg.BITS, 1 << 19):
+        monkeypatch.setattr(sg, "BITS", bits)
+        assert {r["id"]: r["tokens"] for r in segment(df, "text", dictionary).collect()} == {i: plain(t) for i, t in enumerate(texts)}

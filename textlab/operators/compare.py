@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlab.functions.special import chi2_pvalue, t_pvalue_greater
+from textlab.functions.special import chi2_ln_pvalue, chi2_pvalue, t_ln_pvalue_greater, t_pvalue_greater
 from textlab.operators.ranks import value_ranks
 
 
@@ -114,9 +114,11 @@ def power_divergence(aligned: DataFrame, lambdas: dict[str, float] | None = None
 
 
 def with_pvalues(stats: DataFrame, names=("chi2", "g", "cressie_read")) -> DataFrame:
-    """Add ``<name>_p`` upper-tail chi-square p-values to the one-row statistics."""
+    """Add ``<name>_p`` upper-tail chi-square p-values to the one-row statistics, and their logarithms
+    ``<name>_ln_p``, which still say how small a value is that is printed as 0."""
     for n in names:
-        stats = stats.withColumn(f"{n}_p", chi2_pvalue(F.col(n), F.col("dof").cast("double")))
+        dof = F.col("dof").cast("double")
+        stats = stats.withColumn(f"{n}_p", chi2_pvalue(F.col(n), dof)).withColumn(f"{n}_ln_p", chi2_ln_pvalue(F.col(n), dof))
     return stats
 
 
@@ -124,7 +126,7 @@ def spearman(aligned: DataFrame, x: str = "o1", y: str = "o2", pvalue: bool = Tr
     """Spearman's rho with average ranks for ties; one-sided 'greater' p.
 
     Ranks come from the distinct-value tables (``value_ranks``): no global sort of
-    the rows.  -> one row ``(n, rho, t, p)``.
+    the rows.  -> one row ``(n, rho, t, p, ln_p)``.
     """
     r1 = value_ranks(aligned, x).select(F.col(x), F.col("avg_rank").alias("_r1"))
     r2 = value_ranks(aligned, y).select(F.col(y), F.col("avg_rank").alias("_r2"))
@@ -133,7 +135,7 @@ def spearman(aligned: DataFrame, x: str = "o1", y: str = "o2", pvalue: bool = Tr
     n = F.col("n").cast("double")
     out = out.withColumn("t", F.col("rho") * F.sqrt((n - 2) / (F.lit(1.0) - F.col("rho") * F.col("rho"))))
     if pvalue:
-        out = out.withColumn("p", t_pvalue_greater(F.col("t"), n - 2))
+        out = out.withColumn("p", t_pvalue_greater(F.col("t"), n - 2)).withColumn("ln_p", t_ln_pvalue_greater(F.col("t"), n - 2))
     return out
 
 

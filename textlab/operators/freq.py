@@ -61,6 +61,13 @@ def word_freq(df: DataFrame, text: str = "text", remove_stop_words: bool = True,
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("frequency"))
 
 
+def word_freq_by(df: DataFrame, part: str, text: str = "text", pattern: str = TOKEN_PATTERN, lower: bool = False) -> DataFrame:
+    """Word counts of every part (file, source) of a corpus in one scan -> ``(part, word, frequency)``; their sum by word,
+    ``merge_freq``, is the corpus' table (SURVEY A2)."""
+    w = df.select(F.col(part).alias("part"), F.explode(tokens(text, pattern, lower=lower)).alias("word"))
+    return w.groupBy("part", "word").agg(F.count(F.lit(1)).alias("frequency"))
+
+
 def merge_freq(*freqs: DataFrame) -> DataFrame:
     """Add already-computed frequency tables."""
     u = freqs[0].select("word", "frequency")

@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textlab.functions.arrays import argmax, attention_mask, truncate_pad
 from textlab.functions.text import WORD_PATTERN, tokens
-from textlab.operators.ranks import grouped_prefix, range_bucketed
+from textlab.operators.ranks import MIN_RANGES, grouped_prefix, ordered_positions, range_bucketed
+from textlab.session import materialize
 
 
 # ---------------------------------------------------------------- baselines (M5, M6)
@@ -22,10 +24,11 @@ def baseline(train: DataFrame, evaluate: DataFrame, strategy: str = "most_freque
              id_col: str = "id", constant=None, seed: int = 101) -> DataFrame:
     """Dummy classifier predictions on ``evaluate`` -> ``(id, y_true, y_pred)`` (M5, M6).
 
-    ``most_frequent`` / ``prior``: the training mode (ties: smallest label).
-    ``stratified``: a deterministic md5-uniform draw against the cumulative
-    class prior.  ``uniform``: an md5-uniform class.  ``constant``: ``constant``.
-    The class table (one row per class) reaches rows as a scalar subquery.
+    ``most_frequent`` / ``prior``: the training mode (ties: smallest label; a scalar subquery).  ``constant``: ``constant``.
+    ``uniform``: an md5-uniform class, by a join on its place among the labels.  ``stratified``: a deterministic
+    md5-uniform draw against the cumulative class prior, by a band join: draws and the shares of classes meet in
+    ``DRAWS`` buckets of [0, 1), so neither a frequent class nor the class table is in one task.  Without training rows
+    the prediction is null.
     """
     ev = evaluate.select(F.col(id_col).alias("id"), F.col(label).alias("y_true"))
     counts = train.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
@@ -34,24 +37,37 @@ def baseline(train: DataFrame, evaluate: DataFrame, strategy: str = "most_freque
         return ev.withColumn("y_pred", mode)
     if strategy == "constant":
         return ev.withColumn("y_pred", F.lit(constant).cast(dict(train.dtypes)[label]))
-    u = _uniform01(id_col, seed)
-    ev = evaluate.select(F.col(id_col).alias("id"), F.col(label).alias("y_true"), u.alias("_u"))
+    ev = evaluate.select(F.col(id_col).alias("id"), F.col(label).alias("y_true"), _uniform01(id_col, seed).alias("_u"))
     if strategy == "uniform":
-        arr = counts.agg(F.array_sort(F.collect_list("label")).alias("a")).select("a").scalar()
-        ev = ev.withColumn("_a", arr)
-        return ev.select("id", "y_true", F.element_at("_a", (F.floor(F.col("_u") * F.size("_a")) + 1).cast("int")).alias("y_pred"))
+        named = ordered_positions(counts.where(F.col("label").isNotNull()).select("label"), [F.col("label")], "_i")
+        n = named.agg(F.count("*")).scalar()
+        return (ev.withColumn("_i", F.floor(F.col("_u") * n)).join(named, "_i", "left")
+                .select("id", "y_true", F.col("label").alias("y_pred")))
     if strategy == "stratified":
-        total = counts.agg(F.sum("n").alias("t")).select("t").scalar()
-        w = Window.orderBy("label").rowsBetween(Window.unboundedPreceding, 0)  # one row per class
-        cum = counts.withColumn("hi", F.sum("n").over(w) / total)
-        arr = cum.agg(F.array_sort(F.collect_list(F.struct("hi", "label"))).alias("a")).select("a").scalar()
-        ev = ev.withColumn("_a", arr)
-        pick = F.element_at(F.filter("_a", lambda x: x["hi"] > F.col("_u")), 1)["label"]
-        last = F.element_at("_a", -1)["label"]
-        return ev.select("id", "y_true", F.coalesce(pick, last).alias("y_pred"))
+        prior = _cumulative(counts)
+        low, high = F.floor(F.col("lo") * DRAWS), F.least(F.ceil(F.col("hi") * DRAWS) - 1, F.lit(DRAWS - 1))
+        bands = prior.withColumn("_d", F.explode(F.sequence(low, F.greatest(low, high))))
+        draw = ev.withColumn("_d", F.floor(F.col("_u") * DRAWS))
+        inside = (draw["_d"] == bands["_d"]) & (F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi"))
+        return draw.join(bands, inside, "left").select("id", "y_true", F.col("label").alias("y_pred"))
     raise ValueError(strategy)
 
 
+#: Buckets of [0, 1) in which draws meet the prior.
+DRAWS = 1024
+
+
+def _cumulative(counts: DataFrame) -> DataFrame:
+    """``label, lo, hi``: each label's share of [0, 1), in the order of labels; prefixes over ranges and within ranges."""
+    d = range_bucketed(counts, [F.col("label")])
+    total = d.agg(F.sum("n")).scalar()
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = d.groupBy("_b").agg(F.sum("n").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    upto = F.sum("n").over(Window.partitionBy("_b").orderBy("label").rowsBetween(Window.unboundedPreceding, 0))
+    d = d.withColumn("_upto", upto).join(F.broadcast(starts), "_b").withColumn("_upto", F.col("_start") + F.col("_upto"))
+    return d.select("label", ((F.col("_upto") - F.col("n")) / total).alias("lo"), (F.col("_upto") / total).alias("hi"))
+
+
 # ---------------------------------------------------------------- model selection
 
 def best_trial(trials: DataFrame, metric: str = "metric", mode: str = "max", trial_id: str = "trial_id",
@@ -76,7 +92,7 @@ def _cost(col: str, direction: str) -> Column:
 def pareto_front(df: DataFrame, objectives: dict[str, str]) -> DataFrame:
     """Rows not dominated by any other row (M10), e.g.
     ``{'p_retailprice': 'min', 'p_size': 'max'}``; three or more objectives
-    (the reference's loss / f1 / accuracy) use ``_pareto_front_blocked``.
+    (the reference's loss / f1 / accuracy) use a grid, ``_pareto_front_blocked``.
 
     Exact and without a self-join: sort key = first objective.  A row is on the
     front iff its second objective beats the best second objective of every
@@ -108,87 +124,154 @@ def _dominated(p: "np.ndarray", q: "np.ndarray") -> "np.ndarray":
     return out
 
 
+#: Cells of the grid over all objectives, at most (the driver holds one row for each).
+GRID_CELLS = 1024
+
+
 def _pareto_front_blocked(df: DataFrame, objectives: dict[str, str], block_rows: int = 4096) -> DataFrame:
-    """Pareto front for any number of objectives, exact.
-
-    1. Each partition keeps its local front (``mapInPandas``): a row dominated
-       inside its partition is dominated globally, and dominance is transitive,
-       so checking the survivors against the survivors is enough.
-    2. Survivors are hashed into blocks of at most ``block_rows``; every
-       (block, block) pair is one cogroup group, and each group emits one
-       dominated flag per row of its first block -- rows, never pairs.
+    """Pareto front for any number of objectives, exact: a skyline over a grid of quantiles.
+
+    1. Cut points per objective make a grid of at most ``GRID_CELLS`` cells.  A cell that is behind some occupied cell in every
+       objective is dominated as a whole and goes.
+    2. Rows of the other cells meet in groups of about ``block_rows`` of their own cell, and those dominated there go.
+    3. A row that is left can only be dominated from a cell that is nowhere behind its own.  Blocks of its cell meet blocks of
+       those cells, and of its own, only; a group emits one flag per row of its first block -- rows, never pairs.
+
+    No task holds more than two blocks, also where every row is on the front (objectives that exclude each other): then the
+    grid leaves about as many pairs of cells as share a slab.
     """
     import math
 
     import numpy as np
     import pandas as pd
 
-    from textlab.session import materialize
     names = list(objectives)
-    keys = [_cost(c, d).alias(f"_k{i}")
-            for i, (c, d) in enumerate(objectives.items())]
     kcols = [f"_k{i}" for i in range(len(names))]
-    d = df.withColumn("_rid", F.monotonically_increasing_id()).select("*", *keys).dropna(subset=kcols)
-    d = materialize(d, "pareto-input")  # fixes the row ids for every later read
-    schema = d.schema
-
-    def local_front(batches):
-        # running front over Arrow batches: memory is one batch plus the front
-        front = None
-        for pdf in batches:
-            m = pdf[kcols].to_numpy(dtype=np.float64)
-            pdf = pdf[~_dominated(m, m)]
-            if front is not None and len(front):
-                m = pdf[kcols].to_numpy(dtype=np.float64)
-                pdf = pdf[~_dominated(m, front[kcols].to_numpy(dtype=np.float64))]
-                fm = front[kcols].to_numpy(dtype=np.float64)
-                front = front[~_dominated(fm, pdf[kcols].to_numpy(dtype=np.float64))]
-                pdf = pd.concat([front, pdf], ignore_index=True)
-            front = pdf
-        if front is not None:
-            yield front
-
-    surv = materialize(d.mapInPandas(local_front, schema), "pareto-survivors")
-    n = surv.count()
-    nb = max(1, math.ceil(n / block_rows))
-    ids = surv.select("_rid", *kcols).withColumn("_b", F.pmod(F.xxhash64("_rid"), F.lit(nb)).cast("int"))
-    left = ids.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    right = ids.withColumnRenamed("_b", "_o").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    keys = [_cost(c, d).alias(k) for k, (c, d) in zip(kcols, objectives.items())]
+    # written, which fixes the row ids for every later read
+    d = materialize(df.withColumn("_rid", F.monotonically_increasing_id()).select("*", *keys).dropna(subset=kcols), "pareto-input")
+    per = max(1, int(min(GRID_CELLS, d.count() / 64) ** (1 / len(names))))  # cells worth a group each
+    cuts = d.approxQuantile(kcols, [i / per for i in range(1, per)], 0.002) if per > 1 else [[] for _ in kcols]
+    place = [sum((F.when(F.col(k) >= F.lit(c), 1).otherwise(0) for c in sorted(set(cs)) if not math.isinf(c)), F.lit(0)) for k, cs in zip(kcols, cuts)]
+    ids = d.select("_rid", *kcols, F.array(*place).alias("_cell"))
+    found = [(tuple(r["_cell"]), r["n"]) for r in ids.groupBy("_cell").agg(F.count("*").alias("n")).collect()]
+    cells = np.array([c for c, _ in found], np.int64).reshape(len(found), len(names))
+    ahead = np.array([(cells < c).all(axis=1).any() for c in cells], bool)
+    names_of = {c: i for i, (c, _) in enumerate(found) if not ahead[i]}
+    spark = df.sparkSession
+
+    def blocks(sizes: dict[int, int]) -> DataFrame:
+        rows = [(list(c), i, max(1, math.ceil(sizes[i] / block_rows))) for c, i in names_of.items() if sizes.get(i)]
+        return F.broadcast(spark.createDataFrame(rows, "_cell array<int>, _c int, _n int"))
+
+    def in_blocks(rows: DataFrame, sizes: dict[int, int]) -> DataFrame:
+        return rows.join(blocks(sizes), "_cell").withColumn("_b", F.pmod(F.xxhash64("_rid"), F.col("_n")).cast("int"))
+
+    def local(part: pd.DataFrame) -> pd.DataFrame:
+        m = part[kcols].to_numpy(dtype=np.float64)
+        return part[~_dominated(m, m)]
+
+    own = in_blocks(ids, {i: n for i, (_, n) in enumerate(found)}).select("_rid", *kcols, "_cell", "_c", "_b")
+    left = materialize(own.groupBy("_c", "_b").applyInPandas(local, own.schema).drop("_c", "_b"), "pareto-survivors")
+    sizes = {names_of[tuple(r["_cell"])]: r["n"] for r in left.groupBy("_cell").agg(F.count("*").alias("n")).collect()}
+    # (cell, cell that may dominate it) with the numbers of blocks: pairs of occupied cells of the grid
+    n_of = {i: math.ceil(n / block_rows) for i, n in sizes.items()}
+    kept = np.array(sorted(n_of), np.int64)
+    may = (cells[kept][None, :, :] <= cells[kept][:, None, :]).all(axis=2) if len(kept) else np.zeros((0, 0), bool)
+    pairs = [(int(kept[i]), int(kept[j]), n_of[kept[i]], n_of[kept[j]]) for i, j in np.argwhere(may)]
+    pairs = F.broadcast(spark.createDataFrame(pairs, "_p int, _q int, _np int, _nq int"))
+    side = in_blocks(left, sizes).select("_rid", *kcols, "_c", "_b")
+    first = (side.join(pairs, F.col("_c") == F.col("_p")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)))
+             .select("_p", "_q", "_b", "_o", "_rid", *kcols))
+    other = (side.withColumnRenamed("_b", "_o").join(pairs, F.col("_c") == F.col("_q")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_np") - 1)))
+             .select("_p", "_q", "_b", "_o", *kcols))
+    other = other.toDF(*other.columns)  # columns of its own: both sides come from one table
 
     def check(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         flag = _dominated(p[kcols].to_numpy(dtype=np.float64), q[kcols].to_numpy(dtype=np.float64)) if len(q) else np.zeros(len(p), bool)
         return pd.DataFrame({"_rid": p["_rid"].to_numpy(dtype=np.int64), "_dom": flag})
 
-    flags = left.groupBy("_b", "_o").cogroup(right.groupBy("_b", "_o")).applyInPandas(check, "_rid long, _dom boolean")
+    by = ["_p", "_q", "_b", "_o"]
+    flags = first.groupBy(*by).cogroup(other.groupBy(*by)).applyInPandas(check, "_rid long, _dom boolean")
     front = flags.groupBy("_rid").agg(F.max(F.col("_dom").cast("int")).alias("_dom")).where(F.col("_dom") == 0)
-    return surv.join(front, "_rid", "left_semi").drop("_rid", *kcols)
+    return d.join(front, "_rid", "left_semi").drop("_rid", *kcols)
+
+
+def _staircases(threshold: float):
+    """Arrow pass over sorted ranges: every row with its place in the run's part of the range, and whether it improves on the
+    rows before it there."""
+    import numpy as np
+    import pyarrow as pa
+
+    def scan(it):
+        run, place, best = object(), 0, -np.inf
+        for batch in it:
+            runs = batch.column(0).to_pylist()
+            value = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+            places, firsts = np.empty(len(runs), np.int64), np.zeros(len(runs), bool)
+            at = [0, *(i for i in range(1, len(runs)) if runs[i] != runs[i - 1]), len(runs)]
+            for a, b in zip(at, at[1:]):
+                if a == b:
+                    continue
+                if runs[a] != run:
+                    run, place, best = runs[a], 0, -np.inf
+                v = np.where(np.isnan(value[a:b]), -np.inf, value[a:b])
+                before = np.maximum.accumulate(np.r_[best, v])
+                # as long as nothing has a value, every row is an improvement
+                with np.errstate(invalid="ignore"):
+                    firsts[a:b] = (before[:-1] == -np.inf) | (v - before[:-1] > threshold)
+                places[a:b] = np.arange(place, place + b - a)
+                place, best = place + b - a, before[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places), pa.array(firsts)], [*batch.schema.names, "_place", "_step"])
+
+    return scan
 
 
 def early_stop(log: DataFrame, run: str, order: list[str], metric: str, mode: str = "max", patience: int = 3,
-               threshold: float = 0.01, bucket: Column | None = None) -> DataFrame:
-    """Early-stopping point of each run.
-
-    A row improves when there is no earlier row or it beats the running best of
-    all earlier rows by more than ``threshold``; the streak counts rows since the
-    last improvement; the run stops at its first row with streak >= patience.
-    Prefixes are bucketed by ``bucket`` (default: hour of ``order[0]``), so no
-    task holds a whole run.  -> ``(run, n_rows, best, stop_pos, stop_row...)``.
+               threshold: float = 0.01) -> DataFrame:
+    """Early-stopping point of each run (M11) -> ``(run, n_rows, best, stop_pos, stop_at)``.
+
+    A row improves when no earlier row has a value or it beats the best of all earlier rows by more than ``threshold``; the
+    streak counts rows since the last improvement; the run stops at its first row with streak >= patience.  Null and NaN
+    metrics are no values.
+
+    One scan: rows are dealt once, by ranges of (run, order), so a run of any length, also within one hour, is spread.  Each
+    range keeps the rows that beat all rows before them in it.  What one range says about a run is composed with what came
+    before: offsets and best values are prefixes over at most one row per (run, range), and a row improves in the whole
+    run if it beats the best before its range too.  Between two improvements the streak is their distance.
     """
     sign = 1.0 if mode == "max" else -1.0
-    if bucket is None:
-        bucket = (F.unix_micros(F.col(order[0]).cast("timestamp")) / F.lit(3_600_000_000)).cast("bigint")
-    d = log.withColumn("_v", F.col(metric).cast("double") * F.lit(sign))
-    d = grouped_prefix(d, [run], order, bucket, F.col("_v"), "max", False, "_prev")
-    d = d.withColumn("_imp", F.col("_prev").isNull() | ((F.col("_v") - F.col("_prev")) > F.lit(threshold)))
-    d = grouped_prefix(d, [run], order, bucket, F.lit(1), "sum", True, "_pos")
-    d = grouped_prefix(d, [run], order, bucket, F.when(F.col("_imp"), F.col("_pos")), "max", True, "_last")
-    d = d.withColumn("_streak", F.col("_pos") - F.col("_last"))
-    stop_row = F.struct(*[F.col(c) for c in order]).alias("stop_at")
-    return d.groupBy(run).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        (F.max("_v") * F.lit(sign)).alias("best"),
-        F.min(F.when(F.col("_streak") >= patience, F.col("_pos"))).alias("stop_pos"),
-        F.min_by(F.when(F.col("_streak") >= patience, stop_row), F.when(F.col("_streak") >= patience, F.col("_pos"))).alias("stop_at"))
+    v = F.col(metric).cast("double") * F.lit(sign)
+    v = F.when(~F.isnan(v), v)
+    n = max(MIN_RANGES, int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = log.select(F.col(run).alias("_run"), v.alias("_v"), F.struct(*order).alias("_at")).repartitionByRange(n, "_run", "_at")
+    rows = rows.sortWithinPartitions("_run", "_at").withColumn("_part", F.spark_partition_id())
+    scan = _staircases(threshold)
+    schema = T.StructType([*rows.schema.fields, T.StructField("_place", T.LongType()), T.StructField("_step", T.BooleanType())])
+    rows = materialize(rows.mapInArrow(scan, schema), "stop-scan")
+
+    before = Window.partitionBy("_run").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("_run", "_part").agg(F.count("*").alias("n"), F.max("_v").alias("m"))
+    parts = parts.withColumn("_start", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("_best", F.max("m").over(before))
+    same = F.col("_run").eqNullSafe(F.col("r")) & (F.col("_part") == F.col("p"))
+    heads = parts.select(F.col("_run").alias("r"), F.col("_part").alias("p"), "_start", "_best")
+    steps = rows.where("_step").join(heads, same).where(F.col("_best").isNull() | (F.col("_v") - F.col("_best") > threshold))
+    steps = steps.select("_run", "_part", (F.col("_start") + F.col("_place") + 1).alias("pos"))
+    total = parts.groupBy("_run").agg(F.sum("n").alias("n_rows"), (F.max("m") * sign).alias("best"))
+    # streaks inside a range, then those that reach from one range's last improvement to the next one's first, or to the end
+    steps = steps.withColumn("last", F.lag("pos").over(Window.partitionBy("_run", "_part").orderBy("pos")))
+    spans = steps.groupBy("_run", "_part").agg(F.min("pos").alias("first"), F.max("pos").alias("final"),
+                                               F.min(F.when(F.col("pos") - 1 - F.col("last") >= patience, F.col("last"))).alias("inside"))
+    ends = total.select("_run", F.lit(2**31 - 1).alias("_part"), (F.col("n_rows") + 1).alias("first"), F.lit(None).cast("long").alias("final"),
+                        F.lit(None).cast("long").alias("inside"))
+    spans = spans.unionByName(ends).withColumn("last", F.lag("final").over(Window.partitionBy("_run").orderBy("_part")))
+    across = F.when(F.col("first") - 1 - F.col("last") >= patience, F.col("last"))
+    stops = spans.groupBy("_run").agg((F.min(F.least("inside", across)) + patience).alias("stop_pos")).where("stop_pos is not null")
+    stops = stops.withColumnRenamed("_run", "s")
+    places = heads.join(stops, F.expr("r <=> s")).select(F.col("r"), F.col("p"), (F.col("stop_pos") - 1 - F.col("_start")).alias("q"))
+    stop_at = rows.join(places, same & (F.col("_place") == F.col("q"))).select(F.col("_run").alias("t"), F.col("_at").alias("stop_at"))
+    return (total.join(stops, F.expr("_run <=> s"), "left").join(stop_at, F.expr("_run <=> t"), "left")
+            .select(F.col("_run").alias(run), "n_rows", "best", "stop_pos", "stop_at"))
 
 
 def best_checkpoint(log: DataFrame, run: str, step: str, metric: str, mode: str = "max") -> DataFrame:

@@ -1,27 +1,119 @@
 """Dictionary word segmentation for unspaced scripts.
 
-Contract (the reference calls an external segmenter): greedy longest match
-left to right against a caller's word table; a character that starts no
-dictionary word becomes a one-character token.  Counting the tokens stays in
-Spark (``word_freq`` with ``tokenizer=``).
-
-One plan for a dictionary of any size: every (position, length) candidate
-substring of a distinct text, at the word lengths the dictionary has, is
-semi-joined to the dictionary, and the greedy walk runs over each text's matched
-spans.  Spans are keyed by the text's digest, so repeated texts are segmented
-once and no id column is needed.
-
-Cases: a null text gives null tokens, an empty text no tokens, an empty or null
-dictionary one-character tokens.  Repeated rows each get their tokens.
+Contract (the reference calls an external segmenter): greedy longest match left to right against a caller's word table; a
+character that starts no dictionary word becomes a one-character token.  Counting the tokens stays in Spark (``word_freq`` with
+``tokenizer=``).
+
+One plan for a dictionary of any size, in which only matches travel:
+
+1. The dictionary's prefixes are hashed character by character into two bit tables of a fixed size, one of all prefixes and one
+   of whole words.  Tasks build their part, slices are joined by a shuffle; tasks over texts get the tables (``BITS`` / 4 bytes).
+2. Tasks walk all positions of their texts at once, a character a step, as long as the prefix is in the table: a hashed trie.
+   Where the whole-word table says so, the span is a candidate and becomes a row.
+3. Candidates are semi-joined to the dictionary, so a false hit of the tables costs a row and never a token, and the greedy walk
+   runs over each text's longest spans.  Spans are keyed by the text's digest, so repeated texts are segmented once.
+
+Cases: a null text gives null tokens, an empty text no tokens, an empty or null dictionary one-character tokens.  Repeated rows
+each get their tokens.  Words longer than a text, and texts of any length, are fine.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bits of each table: 4 MB.  A million words set 3% of the bits of whole words.
+BITS = 1 << 25
+#: Bytes of a slice of the tables, and characters whose positions are walked together.
+SLICE = 1 << 16
+STEP = 1 << 20
+_MIX = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+
+def _steps(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the texts after one another, the characters left from each position, and the texts' starts."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = np.cumsum(size)
+    return code, np.repeat(ends, size) - np.arange(len(code)), ends - size
+
+
+def _grow(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+    h = (h ^ (code + np.uint64(1))) * np.uint64(_MIX[0])
+    return h ^ (h >> np.uint64(29))
+
+
+def _bit(h: np.ndarray, bits: int) -> np.ndarray:
+    return ((h * np.uint64(_MIX[1])) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+
+
+def _tables(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Bit tables of all prefixes and of whole words."""
+    bits = BITS
+
+    def run(it: Iterable[pa.RecordBatch]):
+        table = np.zeros((2, bits), bool)
+        for batch in it:
+            code, left, starts = _steps(batch.column(0).to_pylist())
+            at, h = starts, np.full(len(starts), _MIX[1], np.uint64)
+            while len(at):
+                h = _grow(h, code[at])
+                bit = _bit(h, bits)
+                table[0, bit] = True
+                table[1, bit[left[at] == 1]] = True
+                more = left[at] > 1
+                at, h = at[more] + 1, h[more]
+        for k in range(2):
+            packed = np.packbits(table[k])
+            parts = [i for i in range(0, len(packed), SLICE) if packed[i:i + SLICE].any()]
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(parts), pa.int32()), pa.array([i // SLICE for i in parts], pa.int32()),
+                                              pa.array([packed[i:i + SLICE].tobytes() for i in parts], pa.binary())], ["k", "slice", "bits"])
+
+    def either(parts: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(len(parts["bits"].iloc[0]), np.uint8)
+        for b in parts["bits"]:
+            total |= np.frombuffer(b, np.uint8)
+        return pd.DataFrame({"k": parts["k"].iloc[:1], "slice": parts["slice"].iloc[:1], "bits": [total.tobytes()]})
+
+    out = np.zeros((2, bits // 8), np.uint8)
+    slices = words.mapInArrow(run, "k int, slice int, bits binary").groupBy("k", "slice").applyInPandas(either, "k int, slice int, bits binary")
+    for r in slices.collect():  # at most the two tables, whatever the dictionary
+        out[r["k"], r["slice"] * SLICE:r["slice"] * SLICE + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return out[0], out[1]
+
+
+def _has(table: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (table[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _candidates(texts: list[str], prefixes: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans that may be words: number of the text, position, length."""
+    code, left, starts = _steps(texts)
+    owner = np.repeat(np.arange(len(texts)), np.diff(np.append(starts, len(code))))
+    found = []
+    for lo in range(0, len(code), STEP):
+        first = np.arange(lo, min(len(code), lo + STEP))
+        h, n = np.full(len(first), _MIX[1], np.uint64), 0
+        while len(first):
+            n += 1
+            h = _grow(h, code[first + n - 1])
+            bit = _bit(h, 8 * len(prefixes))
+            alive = _has(prefixes, bit)
+            first, h, bit = first[alive], h[alive], bit[alive]
+            hit = first[_has(whole, bit)]
+            found.append((hit, np.full(len(hit), n)))
+            more = left[first] > n
+            first, h = first[more], h[more]
+    at = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
+    size = np.concatenate([f[1] for f in found]) if found else at
+    return owner[at], at - starts[owner[at]], size
+
 
 def _walk(text: str, ends: dict[int, int]) -> list[str]:
     out, i = [], 0
@@ -32,26 +124,36 @@ def _walk(text: str, ends: dict[int, int]) -> list[str]:
     return out
 
 
+def spans(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """``_k, i, n, w`` of the spans of ``texts(_k, _t)`` that the bit tables take for words of ``words(w)``."""
+    held = texts.sparkSession.sparkContext.broadcast(_tables(words))
+
+    def run(it: Iterable[pa.RecordBatch]):
+        prefixes, whole = held.value
+        for batch in it:
+            for i in range(0, batch.num_rows, 256):
+                key, text = batch.column(0).slice(i, 256), batch.column(1).slice(i, 256).to_pylist()
+                owner, at, size = _candidates(text, prefixes, whole)
+                for j in range(0, len(at), STEP):
+                    o, a, n = owner[j:j + STEP], at[j:j + STEP], size[j:j + STEP]
+                    word = [text[x][y:y + z] for x, y, z in zip(o.tolist(), a.tolist(), n.tolist())]
+                    yield pa.RecordBatch.from_arrays([key.take(pa.array(o)), pa.array(a, pa.int32()), pa.array(n, pa.int32()), pa.array(word, pa.string())],
+                                                     ["_k", "i", "n", "w"])
+
+    return texts.mapInArrow(run, "_k string, i int, n int, w string")
+
+
 def segment(df: DataFrame, text: str, dictionary: DataFrame, out: str = "tokens") -> DataFrame:
     """Add ``out`` ARRAY<STRING>: the greedy longest-match segmentation of ``text``."""
-    words = dictionary.select(F.col(dictionary.columns[0]).alias("w")).where(F.length("w") > 0).distinct()
-    # the dictionary's word lengths: at most as many rows as its longest word has characters
-    lengths = sorted(int(r["L"]) for r in words.select(F.length("w").alias("L")).distinct().collect())
+    words = dictionary.select(F.col(dictionary.columns[0]).cast("string").alias("w")).where(F.length("w") > 0).distinct()
     key = F.sha2(F.col(text), 256)
-    # characters as an array: slicing it is positional, while substring at a
-    # moving offset would re-walk the UTF-8 text for every candidate
-    cand = (df.select(key.alias("_k"), F.col(text).alias("_t")).where(F.length("_t") > 0).dropDuplicates(["_k"])
-              .select("_k", F.regexp_extract_all("_t", F.lit("(?s)(.)"), 1).alias("_ch"))
-              .select("_k", "_ch", F.explode(F.sequence(F.lit(0), F.size("_ch") - 1)).alias("_i"))
-              .select("_k", "_i", F.explode(F.array(*[F.lit(x) for x in lengths]).cast("array<int>")).alias("_L"), "_ch")
-              .where(F.col("_i") + F.col("_L") <= F.size("_ch"))
-              .select("_k", "_i", "_L", F.array_join(F.slice("_ch", F.col("_i") + 1, F.col("_L")), "").alias("w")))
-    longest = cand.join(words, "w", "left_semi").groupBy("_k", "_i").agg(F.max("_L").alias("_L"))
-    hits = longest.groupBy("_k").agg(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_L").alias("L"))).alias("_spans"))
+    texts = df.select(key.alias("_k"), F.col(text).alias("_t")).where(F.length("_t") > 0).dropDuplicates(["_k"])
+    longest = spans(texts, words).join(words, "w", "left_semi").groupBy("_k", "i").agg(F.max("n").alias("n"))
+    hits = longest.groupBy("_k").agg(F.collect_list(F.struct("i", "n")).alias("_spans"))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def walk_spans(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else _walk(t, {int(x["i"]): int(x["L"]) for x in (() if sp is None else sp)})
+        return pd.Series([None if t is None else _walk(t, {int(x["i"]): int(x["n"]) for x in (() if sp is None else sp)})
                           for t, sp in zip(texts, spans)])
 
     return (df.withColumn("_k", key).join(hits, "_k", "left").withColumn(out, walk_spans(F.col(text), F.col("_spans")))

@@ -12,6 +12,7 @@ from textlab.operators.ranks import value_ranks
 from textlab.plans.compare_corpora import compare_corpora
 from textlab.plans.registry import (EXCL_SQL, PUNCT_SQL, SQL_ALIGNED, SQL_FA, SQL_FA_F, SQL_FB, SQL_FB_F,
                                     SQL_FREQ, SQL_LL, STOP_SQL, TOKEN_RE, WORD_RE, r6, register)
+from textlab.session import materialize
 
 
 def _freq(spark, d):
@@ -36,13 +37,8 @@ def q_a1(spark, d):
 
 @register("A2", SQL_FREQ)
 def q_a2(spark, d):
-    # partial counts per source "file", merged: the same table as A1
-    docs = fx.table(spark, d, "documents")
-    parts = [fq.word_freq(docs.where(F.col("source") == s), remove_stop_words=False, pattern=WORD_PATTERN, lower=True)
-             for s in ("src0", "src1")]
-    rest = fq.word_freq(docs.where(F.col("source").isNull() | ~F.col("source").isin("src0", "src1")), remove_stop_words=False,
-                        pattern=WORD_PATTERN, lower=True)
-    return fq.merge_freq(*parts, rest)
+    # partial counts per source "file" in one scan, merged: the same table as A1
+    return fq.merge_freq(fq.word_freq_by(fx.table(spark, d, "documents"), "source", pattern=WORD_PATTERN, lower=True))
 
 
 @register("A3", f"""select word, sum(frequency)::BIGINT as frequency from
@@ -182,13 +178,33 @@ def q_a17(spark, d):
     return s.select(r6("cressie_read").alias("cressie_read"), F.col("dof").cast("bigint").alias("dof"))
 
 
-@register("A18")  # p-values: incomplete gamma / beta in a pandas UDF on the one-row result (rows-only check)
+# ln p by closed series over lgamma: the upper gamma tail as a sum of falling powers, the beta tail as a power series
+SQL_RHO = f"""(with a as {SQL_ALIGNED},
+    v1 as (select o1, count(*) as c from a group by o1), v2 as (select o2, count(*) as c from a group by o2),
+    r1 as (select o1, coalesce(sum(c) over (order by o1 rows between unbounded preceding and 1 preceding), 0) + (c + 1) / 2.0 as x from v1),
+    r2 as (select o2, coalesce(sum(c) over (order by o2 rows between unbounded preceding and 1 preceding), 0) + (c + 1) / 2.0 as y from v2)
+    select count(*) as n, corr(x, y) as rho from a join r1 using (o1) join r2 using (o2))"""
+
+
+@register("A18", f"""with s as materialized {SQL_PD},
+  k as (select unnest(['chi2', 'g', 'cressie_read']) as name, unnest([chi2, g, cressie_read]) / 2 as x, dof / 2.0::DOUBLE as a from s),
+  tj as (select name, x, (a - 1 - j) * ln(x) - lgamma(a - j) as t from (select *, unnest(generate_series(0, ceil(a)::BIGINT - 1)) as j from k)),
+  c as (select name, any_value(-x) + max(t) + ln(sum(exp(t - m))) as ln_p from (select *, max(t) over (partition by name) as m from tj) group by name),
+  r as materialized (select n, rho, (n - 2) / 2.0::DOUBLE as a, 1 - rho * rho as x from {SQL_RHO}),
+  b as (select ln(sum(exp(lgamma(a + 0.5 + i) - lgamma(a + 0.5) + lgamma(a + 1) - lgamma(a + 1 + i) + i * ln(x)))) as ln_f, any_value(a) as a, any_value(x) as x
+    from (select *, unnest(generate_series(0, 40000)) as i from r)),
+  sp as (select ln_f + lgamma(a + 0.5) - lgamma(a) - ln(pi()) / 2 + a * ln(x) + ln(1 - x) / 2 - ln(2 * a) as ln_p from b)
+  select {", ".join(f"round(exp((select ln_p from c where name = '{n}')), 6) as {n}_p, round((select ln_p from c where name = '{n}'), 3) as {n}_ln_p"
+                    for n in ("chi2", "g", "cressie_read"))},
+    dof::BIGINT as dof, round(exp((select ln_p from sp)), 6) as spearman_p, round((select ln_p from sp), 3) as spearman_ln_p from s""")
 def q_a18(spark, d):
     al = _aligned(spark, d)
     s = cmp.with_pvalues(cmp.power_divergence(al))
-    sp = cmp.spearman(al)
-    return s.select(r6("chi2_p").alias("chi2_p"), r6("g_p").alias("g_p"), r6("cressie_read_p").alias("cressie_read_p"),
-                    F.col("dof").cast("bigint").alias("dof"), r6(sp.select("p").scalar()).alias("spearman_p"))
+    sp = materialize(cmp.spearman(al), "spearman")
+    r3 = lambda c: F.round(c, 3)
+    return s.select(*[x for n in ("chi2", "g", "cressie_read") for x in (r6(f"{n}_p").alias(f"{n}_p"), r3(f"{n}_ln_p").alias(f"{n}_ln_p"))],
+                    F.col("dof").cast("bigint").alias("dof"), r6(sp.select("p").scalar()).alias("spearman_p"),
+                    r3(sp.select("ln_p").scalar()).alias("spearman_ln_p"))
 
 
 @register("A19", f"""select round(ll_sum, 6) as ll_sum, round(g, 6) as g, abs(ll_sum - g) <= 1e-6 * greatest(1.0, abs(g)) as equal

@@ -14,6 +14,7 @@ from textlab.operators import split as sp
 from textlab.operators.freq import word_freq
 from textlab.functions.text import WORD_PATTERN
 from textlab.plans.compare_corpora import compare_corpora
+from textlab.plans.count_corpus import count_corpus
 from textlab.plans.q_corpus import SQL_SIZES
 from textlab.plans.q_labels import SQL_CASES, SQL_LABELLED
 from textlab.plans.q_split import sql_kshot
@@ -21,7 +22,7 @@ from textlab.plans.registry import SQL_FREQ, SQL_LL, r6, register
 from textlab.session import scratch_path
 from textlab.sources import delimited as io
 from textlab.sources.catalog import read_corpus
-from textlab.streaming.word_count import run_to_table, stream_word_freq
+from textlab.streaming.word_count import read_log, run_to_log, stream_words
 
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -115,5 +116,12 @@ def q_a2_stream(spark, d):
     src = scratch_path(spark, "stream-src")
     io.write_lines(fx.table(spark, d, "documents").select("text", "source"), src, "text", partition_by=["source"])
     out = scratch_path(spark, "stream-out")
-    run_to_table(stream_word_freq(spark, src, max_files_per_trigger=64), out, scratch_path(spark, "stream-ckpt"))
-    return spark.read.parquet(out)
+    run_to_log(stream_words(spark, src, max_files_per_trigger=64), out, scratch_path(spark, "stream-ckpt"))
+    return read_log(spark, out)
+
+
+@register("A2_corpus", SQL_FREQ)  # corpus to frequency file in one call: catalogue, count, sink
+def q_a2_corpus(spark, d):
+    src = scratch_path(spark, "corpus")
+    io.write_delimited(fx.table(spark, d, "documents").select("text", "doc_id"), src, sep=";", header=False)
+    return count_corpus(spark, "wongnai", src, scratch_path(spark, "corpus-freq"), pattern=WORD_PATTERN, lower=True)

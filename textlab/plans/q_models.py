@@ -9,7 +9,9 @@ from textlab.functions.arrays import attention_mask, truncate_pad
 from textlab.functions.text import WORD_PATTERN, normalize_col, tokens
 from textlab.operators import models as mo
 from textlab.operators import split as sp
+from textlab.operators import training as tr
 from textlab.operators.freq import word_freq
+from textlab.operators.metrics import classification_report, multilabel_report
 from textlab.operators.segment import segment
 from textlab.plans.dataset_stats import dataset_stats
 from textlab.plans.q_labels import SQL_LABELLED
@@ -188,13 +190,31 @@ def q_k2(spark, d):
     return word_freq(seg, "tokens", remove_stop_words=False, tokenizer=lambda c: c)
 
 
-@register("M7")  # HashingTF -> IDF -> logistic regression, iterative (rows-only)
-def q_m7(spark, d):
+def _classifier(spark, d, patience=3):
     s = _x2(spark, d)
-    model = mo.train_text_classifier(_part(s, "train"), max_iter=20)
-    pred = mo.score(model, _part(s, "test"), id_col="doc_id")
-    from textlab.operators.metrics import classification_report
-    return classification_report(pred)
+    return tr.train_classifier(_part(s, "train"), _part(s, "valid"), epochs=12, patience=patience), _part(s, "test")
+
+
+@register("M7")  # trained with validation and early stop, best epoch scored on test (rows-only)
+def q_m7(spark, d):
+    model, test = _classifier(spark, d)
+    return classification_report(tr.predict(model, test, id_col="doc_id"))
+
+
+@register("M7_log")  # the training log with its best and its stopping epoch, by M12 and M11 (rows-only)
+def q_m7_log(spark, d):
+    model, _ = _classifier(spark, d)
+    return model.log.select("epoch", r6("loss").alias("loss"), r6("metric").alias("metric"), (F.col("epoch") == model.best_epoch).alias("best"),
+                            F.coalesce(F.col("epoch") == F.lit(model.stopped_at), F.lit(False)).alias("stopped"))
+
+
+@register("M7_multi")  # two labels per row (quality, toxic) by sigmoids, reported by E8 (rows-only)
+def q_m7_multi(spark, d):
+    s = _full(spark, d).withColumn("label", F.array(F.expr("label div 2").cast("int"), (F.col("label") % 2).cast("int")))
+    model = tr.train_classifier(_part(s, "train"), _part(s, "valid"), multilabel=True, epochs=12)
+    pred = tr.predict(model, _part(s, "test"), id_col="doc_id")
+    rep = multilabel_report(pred)
+    return rep.select("label", *[r6(c).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
 @register("M8")  # batch scoring with argmax (rows-only)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlab import fixtures as fx
+from textlab.functions.text import COMPARE_EXCLUDE, PUNCT
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,8 +35,14 @@ def r6(c) -> "F.Column":
 # Shared SQL fragments (DuckDB dialect) -------------------------------------------------
 WORD_RE = r"[\p{L}\p{M}\p{N}]+"
 TOKEN_RE = r"([\p{L}\p{M}\p{N}]+|\s+|[^\p{L}\p{M}\p{N}\s])"
-PUNCT_SQL = "'!\"#$%&''()*+, -./:;<=>?@[\\]^_`{|}~'"
-EXCL_SQL = "('<', '>', '</', chr(10), ' ', 'discr')"
+
+
+def sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+PUNCT_SQL = sql_text(PUNCT)
+EXCL_SQL = "(" + ", ".join(map(sql_text, COMPARE_EXCLUDE)) + ")"
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in fx.STOPWORDS_10) + ")"
 
 SQL_FREQ = f"""(select w as word, count(*)::BIGINT as frequency

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,14 +31,18 @@ CATALOG = {
 }
 
 
+def corpus_entry(name: str, **override) -> CorpusEntry:
+    """The catalogue's entry, or that of an unknown corpus (a CSV file with its text in the last column); what the caller
+    names wins."""
+    return replace(CATALOG.get(name, CorpusEntry(name, True, -1, ",")), **override)
+
+
 def read_corpus(spark: SparkSession, name: str, path: str, **override) -> DataFrame:
     """Texts of a corpus as ``(text)``: the catalogue entry for ``name`` (or the
     caller's ``is_csv``, ``text_column_id``, ``delimiter``, ``header``), position
     -1 = last column, the default of an unknown corpus (S5, P2).  What the caller
     names wins over the catalogue."""
-    base = CATALOG.get(name, CorpusEntry(name, True, -1, ","))
-    e = CorpusEntry(name, override.get("is_csv", base.is_csv), override.get("text_column_id", base.text_column_id),
-                    override.get("delimiter", base.delimiter), override.get("header", base.header))
+    e = corpus_entry(name, **override)
     if not e.is_csv:
         return read_lines(spark, path).select(F.col("value").alias("text"))
     df = read_delimited(spark, path, sep=e.delimiter, header=e.header)
