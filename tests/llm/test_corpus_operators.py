@@ -207,6 +207,21 @@ def test_range_join_on_the_table_and_odd_rows(spark):
     assert embedding_range.range_join(odd.where("vec_id is null")).collect()[0].n_links == 0
 
 
+def test_dealt_vectors_grow_with_the_visitors_of_a_cell(spark, monkeypatch):
+    """Tight clusters of 64: twice the vectors are about twice the rows, since a cell's home rows meet its own visitors only."""
+    monkeypatch.setattr(embedding_range, "BLOCK", 64)
+    monkeypatch.setattr(embedding_range, "VISITORS", 128)
+    rng = np.random.default_rng(3)
+    dealt = []
+    for n in (1024, 2048, 4096):
+        centres = rng.normal(size=(n // 64, 24))
+        x = centres[np.arange(n) % len(centres)] + 1e-3 * rng.normal(size=(n, 24))
+        rows = [(i, v.astype(float).tobytes(), 1) for i, v in enumerate(x)]
+        classes = materialize(spark.createDataFrame(rows, "id long, vec binary, copies long"), "classes")
+        dealt.append(embedding_range._dealt(classes, n, float(np.sqrt(0.1))).count())
+    assert dealt[2] < 2.5 * dealt[1] < 6.5 * dealt[0]
+
+
 # mixing -------------------------------------------------------------------------------------------------------------
 
 def test_targets_reshare_the_excess():

@@ -8,7 +8,7 @@ Cosine at least t is the same as a distance of at most r = sqrt(2 - 2t) between
    bounds that: d(x, p_j) <= radius_j + r and d(x, p_j) <= d(x, p_i) + 2 r must hold, and, distances to two pivots being
    those of a Euclidean space, (d(x, p_j)^2 - d(x, p_i)^2) / (2 d(p_i, p_j)) <= r.
 3. Cells join independently.  A cell's home members are split into blocks of about ``BLOCK`` and its visitors into blocks
-   of about ``VISITORS``, so a task's size is bounded however many vectors share a cell.  A block pair multiplies
+   of about ``VISITORS``, counted per cell, so a task's size is bounded however many vectors share a cell.  A block pair multiplies
    matrices in single precision to find candidates and settles those near the threshold in double precision.
    A visitor meets each linked class in that class's home cell only, so links are counted once.
 4. A block pair returns link counts and, per connected group inside it, a star of edges; never the pairs.  Components
@@ -127,8 +127,8 @@ def range_join(table: DataFrame, threshold: float = 0.95, vec_col: str = "embedd
                       F.coalesce(F.col("vec_id") == F.coalesce("component", "vec_id"), F.lit(True)).alias("kept"))
 
 
-def _join_dim(classes: DataFrame, n: int, threshold: float, radius: float) -> DataFrame:
-    """``id, n_links, rep`` rows for classes of one dimension: partial link counts and star edges."""
+def _dealt(classes: DataFrame, n: int, radius: float) -> DataFrame:
+    """Classes of one dimension by the groups in which they meet, ``(cell, block, chunk)``: at home or as visitors."""
     k = max(1, min(MAX_PIVOTS, -(-n // BLOCK)))
     sample = classes.orderBy(F.xxhash64("vec"), "id").limit(k).collect()
     pivots = _unit([bytes(r["vec"]) for r in sample])
@@ -148,7 +148,26 @@ def _join_dim(classes: DataFrame, n: int, threshold: float, radius: float) -> Da
     radii, blocks = np.full(k, -np.inf), np.ones(k, np.int64)
     for r in homes.groupBy("cell").agg(F.max("dist").alias("r"), F.count("*").alias("n")).collect():
         radii[r["cell"]], blocks[r["cell"]] = r["r"], -(-r["n"] // BLOCK)
-    chunks = max(1, -(-n // VISITORS))
+
+    def reachable(x, cell):
+        d = _distances(x, pivots)
+        near = d[np.arange(len(d)), cell][:, None]
+        gap = np.maximum(between[cell], 1e-12)
+        reach = (d <= radii + radius + 1e-6) & (d <= near + 2 * radius + 1e-6) & (d ** 2 - near ** 2 <= 2 * gap * (radius + 1e-6))
+        reach[np.arange(len(d)), cell] = True
+        return reach & np.isfinite(radii)
+
+    def visitors(it):
+        total = np.zeros(k, np.int64)
+        for batch in it:
+            if batch.num_rows:
+                total += reachable(_unit(batch.column(1).to_pylist()), batch.column(3).to_numpy()).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k), pa.int32()), pa.array(total)], ["cell", "n"])
+
+    # how many chunks the visitors of a cell make: home rows are written once for each of them
+    chunks = np.ones(k, np.int64)
+    for r in homes.mapInArrow(visitors, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        chunks[r["cell"]] = max(1, -(-r["n"] // VISITORS))
 
     def deal(it):
         """Home rows go to every visitor chunk of their block, visitors to every block of the cells they may reach."""
@@ -156,22 +175,16 @@ def _join_dim(classes: DataFrame, n: int, threshold: float, radius: float) -> Da
             ids, cell = batch.column(0).to_numpy(), batch.column(3).to_numpy()
             if not len(ids):
                 continue
-            x = _unit(batch.column(1).to_pylist())
-            d = _distances(x, pivots)
-            near = d[np.arange(len(d)), cell]
-            gap = np.maximum(between[cell], 1e-12)
-            reach = (d <= radii + radius + 1e-6) & (d <= near[:, None] + 2 * radius + 1e-6) & (d ** 2 - near[:, None] ** 2 <= 2 * gap * (radius + 1e-6))
-            reach[np.arange(len(d)), cell] = True
-            reach &= np.isfinite(radii)
+            reach = reachable(_unit(batch.column(1).to_pylist()), cell)
             h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             row, to = np.nonzero(reach)
             row, to = np.repeat(row, blocks[to]), np.repeat(to, blocks[to])
             first = np.concatenate([[True], (row[1:] != row[:-1]) | (to[1:] != to[:-1])]) if len(row) else np.empty(0, bool)
             at = np.arange(len(row))
             block = at - np.maximum.accumulate(np.where(first, at, 0))
-            chunk = (h[row] % np.uint64(chunks)).astype(np.int64)
-            mine_row = np.repeat(np.arange(len(ids)), chunks)
-            mine_chunk = np.tile(np.arange(chunks), len(ids))
+            chunk = (h[row] % chunks[to].astype(np.uint64)).astype(np.int64)
+            mine_row = np.repeat(np.arange(len(ids)), chunks[cell])
+            mine_chunk = np.arange(len(mine_row)) - np.repeat(np.cumsum(chunks[cell]) - chunks[cell], chunks[cell])
             mine_block = ((h >> np.uint64(11)) % blocks[cell].astype(np.uint64)).astype(np.int64)[mine_row]
             rows = np.concatenate([row, mine_row])
             task = np.stack([np.concatenate([to, cell[mine_row]]), np.concatenate([block, mine_block]), np.concatenate([chunk, mine_chunk])])
@@ -182,7 +195,11 @@ def _join_dim(classes: DataFrame, n: int, threshold: float, radius: float) -> Da
                     [*[pa.array(t[i:i + 8192], pa.int32()) for t in task], pa.array(is_home[i:i + 8192]),
                      *[batch.column(c).take(take) for c in (0, 1, 2)]], ["cell", "block", "chunk", "home", "id", "vec", "copies"])
 
-    dealt = homes.mapInArrow(deal, "cell int, block int, chunk int, home boolean, id long, vec binary, copies long")
+    return homes.mapInArrow(deal, "cell int, block int, chunk int, home boolean, id long, vec binary, copies long")
+
+
+def _join_dim(classes: DataFrame, n: int, threshold: float, radius: float) -> DataFrame:
+    """``id, n_links, rep`` rows for classes of one dimension: partial link counts and star edges."""
 
     def join(part: pa.Table) -> pa.Table:
         is_home = part.column("home").to_numpy()
@@ -204,4 +221,4 @@ def _join_dim(classes: DataFrame, n: int, threshold: float, radius: float) -> Da
         return pa.table({"id": np.concatenate([ids[away][on], rep[linked]]), "n_links": np.concatenate([count[on], np.zeros(len(linked), np.int64)]),
                          "rep": np.concatenate([rep[right[on]], rep[left[linked]]])})
 
-    return dealt.groupBy("cell", "block", "chunk").applyInArrow(join, "id long, n_links long, rep long")
+    return _dealt(classes, n, radius).groupBy("cell", "block", "chunk").applyInArrow(join, "id long, n_links long, rep long")
