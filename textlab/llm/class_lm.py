@@ -5,9 +5,9 @@ Tokens are words ``[^\x20\x09-\x0D]+`` with A-Z lower-cased, then one end token
     P(w | previous) = P(class(w) | class(previous)) * P(w | class(w))
 
 * Classes: the cube root of the vocabulary, ``CLASSES`` at least.
-* Exchange clustering: in each round the corpus gives, per unit, how often each class stands before and after it; a unit
-  moves to the class under which its neighbours and itself are likeliest.  Units move against the same class counts, a
-  half of them per round, so a round is one distributed count and a table of units x classes.  Units of these rounds are
+* Exchange clustering: in each round a unit moves to the class under which its neighbours and itself are likeliest.  What stands
+  before and after every unit is counted once; each round reads that table, in which a unit's row is complete, with the classes
+  of the others, and shuffles nothing.  Units move against the same class counts, a half of them per round.  Units of these rounds are
   the ``WORDS`` most frequent words, the end token, and the others' ``ENDINGS`` hashed endings.
 * Then every other word moves by itself, by the classes before and after all its occurrences: a table keyed by word, against
   the broadcast class-by-class table.  Only words never seen in learning keep the class of their ending.
@@ -119,12 +119,11 @@ def _vocabulary(counts: DataFrame, texts: int) -> Model:
 
 
 def unit_texts(docs: DataFrame, model: Model, held_out: Column, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per document: its sequence of units, with -1 - i for its i-th other word, the sums over its words with a unit, and
-    its other words with their counts."""
+    """One row per document: its sequence of units, with -1 - i for its i-th other word, the sums over its shown words, and its
+    other words with their counts, the ``n_shown`` shown ones first."""
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"),
                       held_out.alias("held_out"), F.monotonically_increasing_id().alias("row"))
-    own = model.head_units > ENDINGS
-    keys, num, unit = model.head_keys[own], model.head_counts[own], model.head_units[own]
+    keys, num, unit = model.head_keys, model.head_counts, model.head_units
     log_known, log_base = np.log10(np.maximum(num - model.discount, 1e-9)), np.log10(num + 1.0)
 
     def run(it):
@@ -135,27 +134,32 @@ def unit_texts(docs: DataFrame, model: Model, held_out: Column, text_col: str =
                 toks = (text or b"").lower().split()
                 k = words.of(toks)
                 u = np.zeros(len(k) + 1, np.int64)
-                tail = np.ones(len(k), bool)
+                other, times, shown = k[:0], np.zeros(0, np.int64), 0
                 known = base = 0.0
-                if len(keys) and len(k):
-                    at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-                    hit = keys[at] == k
-                    tail = ~hit
-                    at = at[hit]
-                    u[:-1][hit] = unit[at]
-                    known, base = float(log_known[at].sum()), float(log_base[at].sum())
-                rare, place, times = np.unique(k[tail], return_inverse=True, return_counts=True)
-                u[:-1][tail] = -1 - place
-                kind = "<i2" if len(rare) <= 1 << 15 else "<i4"
-                out.append((u.astype(kind).tobytes(), len(k), int(len(k) - tail.sum()), known, base, rare.view(np.int64), times))
-            cols = list(zip(*out)) if out else [()] * 7
-            types = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                n_head = 0
+                if len(k):
+                    at = np.minimum(np.searchsorted(keys, k), len(keys) - 1) if len(keys) else np.zeros(len(k), np.int64)
+                    hit = keys[at] == k if len(keys) else np.zeros(len(k), bool)
+                    n_head = int(hit.sum())
+                    known, base = float(log_known[at[hit]].sum()), float(log_base[at[hit]].sum())
+                    own = hit.copy()
+                    own[hit] = unit[at[hit]] > ENDINGS
+                    u[:-1][own] = unit[at[own]]
+                    for which in (hit & ~own, ~hit):
+                        shown = len(other)
+                        rare, place, n = np.unique(k[which], return_inverse=True, return_counts=True)
+                        u[:-1][which] = -1 - place - shown
+                        other, times = np.concatenate([other, rare]), np.concatenate([times, n])
+                kind = "<i2" if len(other) <= 1 << 15 else "<i4"
+                out.append((u.astype(kind).tobytes(), len(k), n_head, known, base, other.view(np.int64), times, shown))
+            cols = list(zip(*out)) if out else [()] * 8
+            types = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), batch.column(3), *[pa.array(c, t) for c, t in zip(cols, types)]],
-                ["doc_id", "held_out", "row", "units", "n_words", "n_head", "known", "base", "rare", "times"])
+                ["doc_id", "held_out", "row", "units", "n_words", "n_head", "known", "base", "rare", "times", "n_shown"])
 
     return src.mapInArrow(run, "doc_id long, held_out boolean, row long, units binary, n_words long, n_head long, known double, base double, "
-                               "rare array<long>, times array<long>")
+                               "rare array<long>, times array<long>, n_shown int")
 
 
 def _tokens(batch: pa.RecordBatch, values: str = "rare") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -170,35 +174,89 @@ def _tokens(batch: pa.RecordBatch, values: str = "rare") -> tuple[np.ndarray, np
     return u, at, lists.flatten().to_numpy()[np.repeat(np.cumsum(size) - size, n)[at] - u[at] - 1], n
 
 
-def _pairs(units: DataFrame, classes: np.ndarray | None, k: int) -> np.ndarray:
-    """Counts over all learning texts: (2, UNITS, k) of classes before and after each unit, or, of texts as classes, (k, k) of
-    transitions.  A task adds up its own and sends what is not zero."""
-    by_unit = classes is not None
-    rows = UNITS if by_unit else k
+def _sums(have: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Cells and their counts, added up."""
+    cell, which = np.unique(np.concatenate([c for c, _ in have]), return_inverse=True)
+    return cell, np.bincount(which, np.concatenate([n for _, n in have]), len(cell)).astype(np.int64)
+
+
+def unit_bigrams(units: DataFrame) -> DataFrame:
+    """``side, unit, other array<int>, n array<long>``: what stands after (side 1) and before (side 0) every unit in all learning
+    texts, counted once.  Tasks add up their own pairs; a unit's row has at most ``UNITS`` neighbours."""
 
     def run(it):
-        before, after = np.zeros(rows * k, np.int64), np.zeros(rows * k if by_unit else 0, np.int64)
+        have, size = [], 0
+
+        def flush():
+            cell, n = _sums(have)
+            for i in range(0, len(cell), 1 << 16):
+                c = cell[i:i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array((c // UNITS).astype(np.int32)), pa.array((c % UNITS).astype(np.int32)),
+                                                  pa.array(n[i:i + (1 << 16)])], ["a", "b", "n"])
+
         for batch in chunk_docs(it, 1024):
             if not batch.num_rows:
                 continue
-            if by_unit:
-                u, at, keys, _ = _tokens(batch)
-                u[at] = 1 + (keys & (ENDINGS - 1))
-                u = np.concatenate([np.zeros(1, np.int64), u])  # each text follows an end token
-                c = classes[u]
-                before += np.bincount(u[1:] * k + c[:-1], minlength=len(before))
-                after += np.bincount(u[:-1] * k + c[1:], minlength=len(after))
-            else:
-                c = np.concatenate([np.zeros(1, "<i2"), *[np.frombuffer(b, "<i2") for b in batch.column(0).to_pylist()]]).astype(np.int64)
-                before += np.bincount(c[:-1] * k + c[1:], minlength=len(before))
-        for side, n in enumerate((before, after)[: 1 + by_unit]):
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(at + side * len(n), pa.int64()), pa.array(n[at], pa.int64())], ["cell", "n"])
-
-    got = units.select(*(("units", "rare", "n_words") if by_unit else ("classes",))).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros((1 + by_unit) * rows * k)
+            u, at, keys, _ = _tokens(batch)
+            u[at] = 1 + (keys & (ENDINGS - 1))
+            cell = np.concatenate([np.zeros(1, np.int64), u[:-1]]) * UNITS + u  # each text follows an end token
+            cell, n = np.unique(cell, return_counts=True)
+            have.append((cell, n))
+            size += len(cell)
+            if size > 4_000_000:
+                have = [_sums(have)]
+                size = len(have[0][0])
+                if size > 3_000_000:
+                    yield from flush()
+                    have, size = [], 0
+        if have:
+            yield from flush()
+
+    pairs = units.select("units", "rare", "n_words").mapInArrow(run, "a int, b int, n long").repartition("a")
+    pairs = materialize(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")), "unit-pairs")
+
+    def side(k: int, unit: str, other: str) -> DataFrame:
+        rows = pairs.select(F.col(unit).alias("unit"), F.struct(F.col(other).alias("o"), "n").alias("x")).groupBy("unit").agg(F.collect_list("x").alias("x"))
+        return rows.select(F.lit(k).alias("side"), "unit", F.col("x.o").alias("other"), F.col("x.n").alias("n"))
+
+    out = materialize(side(1, "a", "b").unionByName(side(0, "b", "a")), "unit-bigrams")
+    discard(pairs)
+    return out
+
+
+def _by_class(bigrams: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
+    """(2, UNITS, k) counts of classes before and after each unit: every unit is complete in its row, so nothing is shuffled."""
+
+    def run(it):
+        for batch in chunk_docs(it, 64):
+            lists = batch.column(2)
+            size = lists.value_lengths().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), size)
+            n = np.bincount(row * k + classes[lists.flatten().to_numpy()], batch.column(3).flatten().to_numpy(), batch.num_rows * k).reshape(-1, k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in n], pa.binary())], ["side", "unit", "counts"])
+
+    out = np.zeros((2, UNITS, k))
+    got = bigrams.mapInArrow(run, "side int, unit int, counts binary").toArrow()
+    for side, unit, counts in zip(*(c.to_pylist() for c in got.columns)):
+        out[side, unit] = np.frombuffer(counts, float)
+    return out
+
+
+def _class_pairs(texts: DataFrame, k: int) -> np.ndarray:
+    """(k, k) transitions of texts as classes."""
+
+    def run(it):
+        total = np.zeros(k * k, np.int64)
+        for batch in chunk_docs(it, 1024):
+            c = np.concatenate([np.zeros(1, "<i2"), *[np.frombuffer(b, "<i2") for b in batch.column(0).to_pylist()]]).astype(np.int64)
+            total += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["cell", "n"])
+
+    got = texts.select("classes").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(k * k)
     out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape((2, UNITS, k) if by_unit else (k, k))
+    return out.reshape(k, k)
 
 
 def _transitions(n: np.ndarray) -> np.ndarray:
@@ -206,13 +264,13 @@ def _transitions(n: np.ndarray) -> np.ndarray:
     return (n + SMOOTH * freq) / (n.sum(axis=1, keepdims=True) + SMOOTH)
 
 
-def cluster(units: DataFrame, k: int = CLASSES, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
-    """Class of every unit by exchange; the end token keeps class 0 to itself."""
+def cluster(bigrams: DataFrame, k: int = CLASSES, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
+    """Class of every unit by exchange over ``unit_bigrams``; the end token keeps class 0 to itself."""
     rng = np.random.default_rng(seed)
     classes = 1 + np.arange(UNITS) % (k - 1)
     classes[0] = 0
     for r in range(rounds):
-        n = _pairs(units, classes, k)
+        n = _by_class(bigrams, classes, k)
         member = np.zeros((UNITS, k))
         member[np.arange(UNITS), classes] = 1
         p = np.log(_transitions(member.T @ n[1]))
@@ -231,11 +289,12 @@ def cluster(units: DataFrame, k: int = CLASSES, rounds: int = ROUNDS, seed: int
     return classes
 
 
-def word_classes(units: DataFrame, classes: np.ndarray, k: int) -> DataFrame:
+def word_classes(units: DataFrame, bigrams: DataFrame, classes: np.ndarray, k: int) -> DataFrame:
     """``key, class, n`` of every learnt word without a unit: the class under which all its neighbours and itself are likeliest.
 
-    A word's occurrences arrive sorted and are added up in pieces, so a frequent word is never held whole."""
-    n = _pairs(units, classes, k)
+    Tasks count a word's pairs of classes around it before they send them; what arrives is sorted and added up in pieces, so a
+    frequent word is never held whole."""
+    n = _by_class(bigrams, classes, k)
     member = np.zeros((UNITS, k))
     member[np.arange(UNITS), classes] = 1
     p = np.log(_transitions(member.T @ n[1]))
@@ -244,11 +303,31 @@ def word_classes(units: DataFrame, classes: np.ndarray, k: int) -> DataFrame:
     after, ending = np.ascontiguousarray(p.T), classes[1:1 + ENDINGS]
 
     def neighbours(it):
+        have, size = [], 0
+
+        def counted():
+            key, pair = (np.concatenate(x) for x in zip(*have))
+            order = np.lexsort((pair, key))
+            key, pair = key[order], pair[order]
+            at = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])
+            n = np.diff(np.append(at, len(key))).astype(np.int32)
+            for i in range(0, len(at), 1 << 16):
+                j = at[i:i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[j], pa.int64()), pa.array(pair[j], pa.int32()), pa.array(n[i:i + (1 << 16)])], ["key", "pair", "n"])
+
         for batch in chunk_docs(it, 1024):
             u, at, keys, _ = _tokens(batch)
+            if not len(at):
+                continue
             u[at] = 1 + (keys & (ENDINGS - 1))
             c = np.concatenate([np.zeros(1, np.int64), classes[u]])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(c[at] * k + c[at + 2], pa.int32())], ["key", "pair"])
+            have.append((keys, (c[at] * k + c[at + 2]).astype(np.int32)))
+            size += len(keys)
+            if size > 2_000_000:
+                yield from counted()
+                have, size = [], 0
+        if have:
+            yield from counted()
 
     def choose(it):
         have = None
@@ -260,10 +339,10 @@ def word_classes(units: DataFrame, classes: np.ndarray, k: int) -> DataFrame:
         for batch in chunk_docs(it, 8192):
             if not batch.num_rows:
                 continue
-            key, pair = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            key, pair, times = (c.to_numpy() for c in batch.columns)
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            gain = np.add.reduceat(p[pair // k] + after[pair % k] - size, at, axis=0)
-            keys, count = key[at], np.diff(np.append(at, len(key)))
+            gain = np.add.reduceat((p[pair // k] + after[pair % k] - size) * times[:, None], at, axis=0)
+            keys, count = key[at], np.add.reduceat(times.astype(np.int64), at)
             if have and have[0][0] == keys[0]:
                 gain[0] += have[1][0]
                 count[0] += have[2][0]
@@ -275,7 +354,7 @@ def word_classes(units: DataFrame, classes: np.ndarray, k: int) -> DataFrame:
         if have:
             yield moved(*have)
 
-    seen = units.select("units", "rare", "n_words").mapInArrow(neighbours, "key long, pair int")
+    seen = units.select("units", "rare", "n_words").mapInArrow(neighbours, "key long, pair int, n int")
     return seen.repartition("key").sortWithinPartitions("key", "pair").mapInArrow(choose, "key long, class int, n long")
 
 
@@ -283,7 +362,8 @@ def class_texts(units: DataFrame, words: DataFrame, model: Model) -> DataFrame:
     """``units`` with the sequences as classes, and the sums over words without a unit."""
     classes, own = model.classes, [(e, int(model.classes[1 + e]), float(model.log_new[model.classes[1 + e]])) for e in range(ENDINGS)]
     endings = units.sparkSession.createDataFrame(own, "ending int, ending_class int, log_new double")
-    rare = units.select("row", F.posexplode(F.arrays_zip("rare", "times")).alias("i", "x")).select("row", "i", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
+    beyond = [F.slice(c, F.col("n_shown") + 1, F.size(c)) for c in ("rare", "times")]  # shown words need no join
+    rare = units.select("row", F.posexplode(F.arrays_zip(beyond[0].alias("rare"), beyond[1].alias("times"))).alias("i", "x")).select("row", "i", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     rare = (rare.join(words, "key", "left")
             .join(F.broadcast(endings), F.col("key").bitwiseAND(F.lit(ENDINGS - 1)) == F.col("ending"))
             .groupBy("row").agg(
@@ -293,18 +373,27 @@ def class_texts(units: DataFrame, words: DataFrame, model: Model) -> DataFrame:
                 F.array_sort(F.collect_list(F.struct("i", F.coalesce("class", "ending_class").alias("class")))).alias("own")))
     rare = rare.withColumn("own", F.col("own.class"))
 
+    keys, unit = model.head_keys, model.head_units
+
     def run(it):
         for batch in chunk_docs(it, 1024):
+            # the classes of a text's other words: of the shown ones from the model, of the rest from the join
+            rows = [batch.schema.get_field_index(c) for c in ("rare", "own", "n_shown")]
+            rare, own, shown = (batch.column(i).to_pylist() for i in rows)
+            found = [np.r_[classes[unit[np.searchsorted(keys, np.array(r[:s], np.int64).view(np.uint64))]], np.array(o or (), np.int64)].astype(np.int64) if r else np.zeros(0, np.int64)
+                     for r, o, s in zip(rare, own, shown)]
+            batch = batch.drop_columns(["rare", "own", "n_shown"]).append_column("own", pa.array(found, pa.list_(pa.int64())))
             u, at, own, n = _tokens(batch, "own")
+            batch = batch.drop_columns(["own"])
             c = classes[np.maximum(u, 0)]
             c[at] = own
             c = c.astype("<i2")
             ends = np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([pa.array([c[e - m:e].tobytes() for e, m in zip(ends, n)], pa.binary()), *batch.columns[2:]], ["classes", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([pa.array([c[e - m:e].tobytes() for e, m in zip(ends, n)], pa.binary()), *batch.columns[1:]], ["classes", *batch.schema.names[1:]])
 
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("double").alias(c)
     return (units.join(rare, "row", "left")
-            .select("units", "own", "n_words", "doc_id", "held_out", "n_head", "known", "base", *[zero(c) for c in ("r_known", "r_base", "r_score")])
+            .select("units", "rare", "own", "n_shown", "n_words", "doc_id", "held_out", "n_head", "known", "base", *[zero(c) for c in ("r_known", "r_base", "r_score")])
             .mapInArrow(run, "classes binary, n_words long, doc_id long, held_out boolean, n_head long, known double, base double, r_known double, "
                              "r_base double, r_score double"))
 
@@ -316,8 +405,10 @@ def learn(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str
     model = _vocabulary(counts, known.count())
     units = materialize(unit_texts(docs, model, held_out, text_col, id_col), "units")
     train = units.where(~F.col("held_out"))
-    model.classes = cluster(train, model.k, rounds)
-    words = materialize(word_classes(train, model.classes, model.k), "word-classes")
+    bigrams = unit_bigrams(train)
+    model.classes = cluster(bigrams, model.k, rounds)
+    words = materialize(word_classes(train, bigrams, model.classes, model.k), "word-classes")
+    discard(bigrams)
     # tokens and types of every class
     own = model.head_units > ENDINGS
     at = model.classes[model.head_units[own]]
@@ -335,14 +426,15 @@ def learn(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str
     model.head_units[place] = UNITS + np.arange(len(place))
     model.classes = np.concatenate([model.classes, more.column("class").to_numpy()])
     texts = materialize(class_texts(units, words, model), "class-texts")
-    discard(units)
-    model.log_transition = np.log10(_transitions(_pairs(texts.where(~F.col("held_out")), None, model.k)))
+    discard(units, words)
+    model.log_transition = np.log10(_transitions(_class_pairs(texts.where(~F.col("held_out")), model.k)))
     return model, texts, counts
 
 
 def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
-    model, texts, _ = learn(docs, held_out, text_col, id_col, rounds)
+    model, texts, counts = learn(docs, held_out, text_col, id_col, rounds)
+    discard(counts)
     trans, size = model.log_transition, model.log_size
     end_score = float(np.log10(model.texts)) if model.texts else 0.0
 
