@@ -28,6 +28,7 @@ from __future__ import annotations
 import math
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -129,34 +130,40 @@ def unit_texts(docs: DataFrame, model: Model, held_out: Column, text_col: str =
     def run(it):
         words = Words()
         for batch in chunk_docs(it, 512):
-            out = []
-            for text in byte_rows(batch, "text"):
-                toks = (text or b"").lower().split()
-                k = words.of(toks)
-                u = np.zeros(len(k) + 1, np.int64)
-                other, times, shown = k[:0], np.zeros(0, np.int64), 0
-                known = base = 0.0
-                n_head = 0
-                if len(k):
-                    at = np.minimum(np.searchsorted(keys, k), len(keys) - 1) if len(keys) else np.zeros(len(k), np.int64)
-                    hit = keys[at] == k if len(keys) else np.zeros(len(k), bool)
-                    n_head = int(hit.sum())
-                    known, base = float(log_known[at[hit]].sum()), float(log_base[at[hit]].sum())
-                    own = hit.copy()
-                    own[hit] = unit[at[hit]] > ENDINGS
-                    u[:-1][own] = unit[at[own]]
-                    for which in (hit & ~own, ~hit):
-                        shown = len(other)
-                        rare, place, n = np.unique(k[which], return_inverse=True, return_counts=True)
-                        u[:-1][which] = -1 - place - shown
-                        other, times = np.concatenate([other, rare]), np.concatenate([times, n])
-                kind = "<i2" if len(other) <= 1 << 15 else "<i4"
-                out.append((u.astype(kind).tobytes(), len(k), n_head, known, base, other.view(np.int64), times, shown))
-            cols = list(zip(*out)) if out else [()] * 8
-            types = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), *[pa.array(c, t) for c, t in zip(cols, types)]],
-                ["doc_id", "held_out", "row", "units", "n_words", "n_head", "known", "base", "rare", "times", "n_shown"])
+            toks = [(text or b"").lower().split() for text in byte_rows(batch, "text")]
+            size = np.fromiter(map(len, toks), np.int64, len(toks))
+            key = words.of(list(chain.from_iterable(toks)))
+            doc = np.repeat(np.arange(len(toks)), size)
+            kinds, which = np.unique(key, return_inverse=True)  # each word of the batch is looked up once
+            at = np.minimum(np.searchsorted(keys, kinds), max(0, len(keys) - 1))
+            shown = keys[at] == kinds if len(keys) else np.zeros(len(kinds), bool)
+            own = shown.copy()
+            own[shown] = unit[at[shown]] > ENDINGS
+
+            def per_doc(values):
+                at_kind = np.zeros(len(kinds))
+                at_kind[shown] = values[at[shown]]
+                return np.bincount(doc, at_kind[which], len(toks))
+
+            # other words of a text: shown ones first, each once with its count
+            rest = np.flatnonzero(~own[which])
+            entry, place, times = np.unique((doc[rest] * 2 + ~shown[which[rest]]) * len(kinds) + which[rest], return_inverse=True, return_counts=True)
+            entry_doc, entry_kind = entry // (2 * len(kinds) or 1), entry % (len(kinds) or 1)
+            ends = np.searchsorted(entry_doc, np.arange(len(toks) + 1))
+            n_shown = np.bincount(entry_doc, shown[entry_kind], len(toks)).astype(np.int32)
+            u = np.zeros(len(key), np.int64)
+            u[own[which]] = unit[at[which[own[which]]]]
+            u[rest] = -1 - (place - ends[doc[rest]])
+            starts = np.cumsum(size) - size
+            cells = []
+            for i, (a, n) in enumerate(zip(starts.tolist(), size.tolist())):
+                kind = "<i2" if ends[i + 1] - ends[i] <= 1 << 15 else "<i4"
+                cells.append(u[a:a + n].astype(kind).tobytes() + np.zeros(1, kind).tobytes())
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int64())) for x in (kinds[entry_kind].view(np.int64), times)]
+            cols = [pa.array(cells, pa.binary()), pa.array(size), pa.array(np.bincount(doc, shown[which], len(toks)).astype(np.int64)),
+                    pa.array(per_doc(log_known)), pa.array(per_doc(log_base)), *lists, pa.array(n_shown)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *cols],
+                                             ["doc_id", "held_out", "row", "units", "n_words", "n_head", "known", "base", "rare", "times", "n_shown"])
 
     return src.mapInArrow(run, "doc_id long, held_out boolean, row long, units binary, n_words long, n_head long, known double, base double, "
                                "rare array<long>, times array<long>, n_shown int")
@@ -363,7 +370,7 @@ def class_texts(units: DataFrame, words: DataFrame, model: Model) -> DataFrame:
     classes, own = model.classes, [(e, int(model.classes[1 + e]), float(model.log_new[model.classes[1 + e]])) for e in range(ENDINGS)]
     endings = units.sparkSession.createDataFrame(own, "ending int, ending_class int, log_new double")
     beyond = [F.slice(c, F.col("n_shown") + 1, F.size(c)) for c in ("rare", "times")]  # shown words need no join
-    rare = units.select("row", F.posexplode(F.arrays_zip(beyond[0].alias("rare"), beyond[1].alias("times"))).alias("i", "x")).select("row", "i", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
+    rare = units.select("row", F.posexplode(F.arrays_zip(beyond[0].alias("rare"), beyond[1].alias("times"))).alias("i", "x")).select("row", "i", F.col("x.rare").alias("key"), F.col("x.times").cast("int").alias("times"))
     rare = (rare.join(words, "key", "left")
             .join(F.broadcast(endings), F.col("key").bitwiseAND(F.lit(ENDINGS - 1)) == F.col("ending"))
             .groupBy("row").agg(
@@ -378,11 +385,15 @@ def class_texts(units: DataFrame, words: DataFrame, model: Model) -> DataFrame:
     def run(it):
         for batch in chunk_docs(it, 1024):
             # the classes of a text's other words: of the shown ones from the model, of the rest from the join
-            rows = [batch.schema.get_field_index(c) for c in ("rare", "own", "n_shown")]
-            rare, own, shown = (batch.column(i).to_pylist() for i in rows)
-            found = [np.r_[classes[unit[np.searchsorted(keys, np.array(r[:s], np.int64).view(np.uint64))]], np.array(o or (), np.int64)].astype(np.int64) if r else np.zeros(0, np.int64)
-                     for r, o, s in zip(rare, own, shown)]
-            batch = batch.drop_columns(["rare", "own", "n_shown"]).append_column("own", pa.array(found, pa.list_(pa.int64())))
+            rare, joined, shown = (batch.column(batch.schema.get_field_index(c)) for c in ("rare", "own", "n_shown"))
+            size = rare.value_lengths().to_numpy()
+            ends = np.r_[0, np.cumsum(size)]
+            first = np.arange(ends[-1]) - np.repeat(ends[:-1], size) < np.repeat(shown.to_numpy(), size)
+            found = np.empty(ends[-1], np.int64)
+            found[first] = classes[unit[np.searchsorted(keys, rare.flatten().to_numpy()[first].view(np.uint64))]]
+            found[~first] = joined.flatten().to_numpy()
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found))
+            batch = batch.drop_columns(["rare", "own", "n_shown"]).append_column("own", lists)
             u, at, own, n = _tokens(batch, "own")
             batch = batch.drop_columns(["own"])
             c = classes[np.maximum(u, 0)]
@@ -398,11 +409,15 @@ def class_texts(units: DataFrame, words: DataFrame, model: Model) -> DataFrame:
                              "r_base double, r_score double"))
 
 
-def learn(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str = "doc_id", rounds: int = ROUNDS) -> tuple[Model, DataFrame, DataFrame]:
-    """The model of the rows that are not held out, all rows as class sequences and the word counts."""
+def learn(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str = "doc_id", rounds: int = ROUNDS,
+          keep_counts: bool = True) -> tuple[Model, DataFrame, DataFrame | None]:
+    """The model of the rows that are not held out, all rows as class sequences, and the word counts if they are to be kept."""
     known = docs.where(~held_out)
     counts = materialize(word_counts(known, text_col), "words")
     model = _vocabulary(counts, known.count())
+    if not keep_counts:
+        discard(counts)
+        counts = None
     units = materialize(unit_texts(docs, model, held_out, text_col, id_col), "units")
     train = units.where(~F.col("held_out"))
     bigrams = unit_bigrams(train)
@@ -433,8 +448,7 @@ def learn(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str
 
 def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
-    model, texts, counts = learn(docs, held_out, text_col, id_col, rounds)
-    discard(counts)
+    model, texts, _ = learn(docs, held_out, text_col, id_col, rounds, keep_counts=False)
     trans, size = model.log_transition, model.log_size
     end_score = float(np.log10(model.texts)) if model.texts else 0.0
 
