@@ -77,3 +77,16 @@ def test_sample_fraction_deterministic(classes):
     a = sp.sample_fraction(classes, "id", 0.5)
     assert a.exceptAll(sp.sample_fraction(classes.repartition(3), "id", 0.5)).count() == 0
     assert 0.35 * 399 < a.count() < 0.65 * 399
+
+
+def test_few_classes_do_not_deal_rows_out_by_class(spark):
+    """Where Spark cannot tell that the class table is small, a frequent class's rows would all meet in one task."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        df = spark.range(100_000).withColumn("label", (F.col("id") % 10 == 0).cast("int")).withColumn("text", F.lit("x" * 20))
+        for out in (sp.split_full(df, "label", "id"), sp.split_kshot(df, "label", "id", 100)):
+            plan = out._jdf.queryExecution().sparkPlan().toString()
+            assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab.operators.ranks import ordered_positions
+from textlab.session import materialize
 
 HEX_DIGITS = 5
 _NO_BUCKET = (1 << 62)
@@ -68,8 +69,8 @@ def segment_by_cuts(df: DataFrame, group: list[str], id_col: str, seed: int, cut
                .withColumn("_c", F.greatest(F.col("_c"), F.lit(0)))
                .where((F.col("_before") <= F.col("_c")) & (F.col("_c") < F.col("_before") + F.col("_n"))))
     info = hits.groupBy(*group).agg(F.collect_list(F.struct(F.col("_bk").alias("b"), (F.col("_c") - F.col("_before")).alias("o"))).alias("_ci"))
-    if group:
-        rows = _same(k, info, group, "left")  # one row per group; broadcast by AQE when small
+    if group:  # one row per group, written: Spark knows its size and deals the rows out by group only when there are many groups
+        rows = _same(k, materialize(info, "cuts"), group, "left")
     else:  # one (bucket, offset) pair per cut, fetched as a literal
         got = info.collect()
         pairs = [] if not got else sorted((int(x["b"]), int(x["o"])) for x in got[0]["_ci"])
@@ -196,7 +197,7 @@ def split_full(df: DataFrame, label: str, id_col: str, ratios=(0.8, 0.1, 0.1), s
     a, b, c = _check_ratios(ratios)
     r = b + c
     counts = _counts(df, label)
-    single = counts.where(F.col("f") == 1).select(label)
+    single = materialize(counts.where(F.col("f") == 1).select(label), "singles")  # of a known size: rows are not dealt out by label
     multi_counts = counts.where(F.col("f") > 1)
     rest_df = _same(df, single, [label], "left_anti")
     n_prime = int(multi_counts.agg(F.sum("f").alias("n")).first()["n"] or 0)
@@ -215,7 +216,7 @@ def split_full(df: DataFrame, label: str, id_col: str, ratios=(0.8, 0.1, 0.1), s
 def split_two(df: DataFrame, label: str, id_col: str, test: float = 0.1, seed: int = 101) -> DataFrame:
     """Two-way stratified split with singletons in train (X5) -> ``split`` in train/valid."""
     counts = _counts(df, label)
-    single = counts.where(F.col("f") == 1).select(label)
+    single = materialize(counts.where(F.col("f") == 1).select(label), "singles")  # of a known size: rows are not dealt out by label
     multi_counts = counts.where(F.col("f") > 1)
     n_prime = int(multi_counts.agg(F.sum("f").alias("n")).first()["n"] or 0)
     q = stratified_train_quota(multi_counts, label, n_prime - _ceil9(n_prime * test), n_prime)
