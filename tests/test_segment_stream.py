@@ -1,10 +1,11 @@
 """Dictionary segmentation and the streaming word count."""
 
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textlab.operators.freq import merge_freq, word_freq
-from textlab.operators.segment import segment
+from textlab.operators.segment import WALKED, _walked, segment
 from textlab.session import scratch_path
 from textlab.sources.delimited import write_lines
 from textlab.streaming.word_count import read_log, run_to_log, stream_words
@@ -74,3 +75,11 @@ def test_only_matches_travel(spark, monkeypatch):
     for bits in (sg.BITS, 1 << 19):
         monkeypatch.setattr(sg, "BITS", bits)
         assert {r["id"]: r["tokens"] for r in segment(df, "text", dictionary).collect()} == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_tokens_of_a_batch_come_a_few_texts_at_a_time():
+    texts = pa.array(["abcx", None, ""] * 1000)
+    at, size = pa.array([[0], None, None] * 1000, pa.list_(pa.int32())), pa.array([[3], None, None] * 1000, pa.list_(pa.int32()))
+    parts = list(_walked(texts, at, size))
+    assert max(map(len, parts)) <= WALKED
+    assert pa.concat_arrays(parts).to_pylist() == [["abc", "x"], None, []] * 1000

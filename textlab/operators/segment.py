@@ -19,7 +19,7 @@ each get their tokens.  Words longer than a text, and texts of any length, are f
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,6 +33,8 @@ BITS = 1 << 25
 #: Bytes of a slice of the tables, and characters whose positions are walked together.
 SLICE = 1 << 16
 STEP = 1 << 20
+#: Texts whose spans and tokens a task holds as Python objects.
+WALKED = 32
 _MIX = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -124,6 +126,13 @@ def _walk(text: str, ends: dict[int, int]) -> list[str]:
     return out
 
 
+def _walked(texts: pa.Array, at: pa.Array, size: pa.Array) -> Iterator[pa.Array]:
+    """Tokens of the texts of an Arrow batch, which has thousands, a few texts at a time."""
+    for j in range(0, len(texts), WALKED):
+        few = zip(*(c.slice(j, WALKED).to_pylist() for c in (texts, at, size)))
+        yield pa.array([None if t is None else _walk(t, dict(zip(a or (), n or ()))) for t, a, n in few], pa.list_(pa.string()))
+
+
 def spans(texts: DataFrame, words: DataFrame) -> DataFrame:
     """``_k, i, n, w`` of the spans of ``texts(_k, _t)`` that the bit tables take for words of ``words(w)``."""
     held = texts.sparkSession.sparkContext.broadcast(_tables(words))
@@ -151,10 +160,10 @@ def segment(df: DataFrame, text: str, dictionary: DataFrame, out: str = "tokens"
     longest = spans(texts, words).join(words, "w", "left_semi").groupBy("_k", "i").agg(F.max("n").alias("n"))
     hits = longest.groupBy("_k").agg(F.collect_list(F.struct("i", "n")).alias("_spans"))
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def walk_spans(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else _walk(t, {int(x["i"]): int(x["n"]) for x in (() if sp is None else sp)})
-                          for t, sp in zip(texts, spans)])
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def walk_spans(it: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in it:
+            yield from _walked(*batch)
 
-    return (df.withColumn("_k", key).join(hits, "_k", "left").withColumn(out, walk_spans(F.col(text), F.col("_spans")))
+    return (df.withColumn("_k", key).join(hits, "_k", "left").withColumn(out, walk_spans(F.col(text), F.col("_spans.i"), F.col("_spans.n")))
             .drop("_spans", "_k"))
