@@ -143,7 +143,7 @@ def unit_texts(docs: DataFrame, model: Model, held_out: Column, text_col: str =
             def per_doc(values):
                 at_kind = np.zeros(len(kinds))
                 at_kind[shown] = values[at[shown]]
-                return np.bincount(doc, at_kind[which], len(toks))
+                return np.bincount(doc, at_kind[which], len(toks)).astype(float)  # without a word, bincount gives whole numbers
 
             # other words of a text: shown ones first, each once with its count
             rest = np.flatnonzero(~own[which])
@@ -418,7 +418,7 @@ def learn(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str
     if not keep_counts:
         discard(counts)
         counts = None
-    units = materialize(unit_texts(docs, model, held_out, text_col, id_col), "units")
+    units = materialize(unit_texts(docs, model, held_out, text_col, id_col), "units", "zstd")
     train = units.where(~F.col("held_out"))
     bigrams = unit_bigrams(train)
     model.classes = cluster(bigrams, model.k, rounds)
@@ -440,7 +440,7 @@ def learn(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str
     place = np.searchsorted(model.head_keys, more.column("key").to_numpy().view(np.uint64))
     model.head_units[place] = UNITS + np.arange(len(place))
     model.classes = np.concatenate([model.classes, more.column("class").to_numpy()])
-    texts = materialize(class_texts(units, words, model), "class-texts")
+    texts = materialize(class_texts(units, words, model), "class-texts", "zstd")
     discard(units, words)
     model.log_transition = np.log10(_transitions(_class_pairs(texts.where(~F.col("held_out")), model.k)))
     return model, texts, counts

@@ -69,16 +69,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def materialize(df, name: str):
+def materialize(df, name: str, codec: str | None = None):
     """Cut lineage by writing ``df`` as parquet under the shared checkpoint folder
     and reading it back.
 
     Used before long or repeated stages: recovery after an executor loss starts
     from the written table, and later plans are a plain scan.  (``checkpoint()``
     cannot convert some plans holding DataFrame scalar subqueries; a write can.)
+    ``codec`` is a Parquet codec for tables that Spark's default does not shrink.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=codec)
     return df.sparkSession.read.parquet(path)
 
 
