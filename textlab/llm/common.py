@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.session import materialize, ship_package
+from textlab.session import discard, materialize, ship_package
 
 #: ``[^\x20\x09-\x0D]+`` as a Java regex; ``bytes.split()`` cuts at the same six characters.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -104,15 +104,6 @@ def whole_groups(it: Iterable[pa.RecordBatch], keys: list[str], rows: int = 8192
         yield pa.Table.from_batches(have).combine_chunks()
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete written intermediates that nothing will read again."""
-    for t in tables:
-        spark = t.sparkSession
-        for f in {p.rsplit("/", 1)[0] for p in t.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(src long, dst long)``: ``(node, component)``, the component being its smallest node.
 
