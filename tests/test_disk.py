@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from textlab.llm import class_lm
 from textlab.operators import knn
 from textlab.session import ensure_checkpoint_dir, materialize
 
@@ -45,3 +46,12 @@ def test_rows_of_both_sides_go_once_they_are_packed(spark):
     left = {t.rsplit("-", 1)[0] for t in _tables(spark) - old}
     assert {"set-chunks", "set-blocks", "knn-train", "knn-test"} <= left
     assert not left & {"set-train", "set-test", "knn-train-rows", "knn-test-rows"}
+
+
+def test_class_lm_writes_the_classes_of_words_before_texts_are_shuffled(spark, monkeypatch):
+    docs = _rows(spark, range(60)).withColumnRenamed("id", "doc_id")
+    old, written = _tables(spark), []
+    monkeypatch.setattr(class_lm, "materialize", lambda df, name, codec=None: written.append(name) or materialize(df, name, codec))
+    assert class_lm.score(docs, F.col("doc_id") % 5 == 0, rounds=1).count() == 60
+    assert written[-2:] == ["rare-classes", "class-texts"]
+    assert {t.rsplit("-", 1)[0] for t in _tables(spark) - old} == {"class-texts"}

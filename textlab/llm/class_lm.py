@@ -366,7 +366,9 @@ def word_classes(units: DataFrame, bigrams: DataFrame, classes: np.ndarray, k: i
 
 
 def class_texts(units: DataFrame, words: DataFrame, model: Model) -> DataFrame:
-    """``units`` with the sequences as classes, and the sums over words without a unit."""
+    """``units`` with the sequences as classes, and the sums over words without a unit.
+
+    The classes of other words are written before they join the texts, so the shuffle of words is gone when texts are shuffled."""
     classes, own = model.classes, [(e, int(model.classes[1 + e]), float(model.log_new[model.classes[1 + e]])) for e in range(ENDINGS)]
     endings = units.sparkSession.createDataFrame(own, "ending int, ending_class int, log_new double")
     beyond = [F.slice(c, F.col("n_shown") + 1, F.size(c)) for c in ("rare", "times")]  # shown words need no join
@@ -378,7 +380,7 @@ def class_texts(units: DataFrame, words: DataFrame, model: Model) -> DataFrame:
                 F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("r_base"),
                 F.sum(F.col("times") * F.when(F.col("n").isNotNull(), F.log10(F.col("n") - F.lit(model.discount))).otherwise(F.col("log_new"))).alias("r_score"),
                 F.array_sort(F.collect_list(F.struct("i", F.coalesce("class", "ending_class").alias("class")))).alias("own")))
-    rare = rare.withColumn("own", F.col("own.class"))
+    rare = materialize(rare.withColumn("own", F.col("own.class")), "rare-classes", "zstd")
 
     keys, unit = model.head_keys, model.head_units
 
@@ -403,10 +405,13 @@ def class_texts(units: DataFrame, words: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([c[e - m:e].tobytes() for e, m in zip(ends, n)], pa.binary()), *batch.columns[1:]], ["classes", *batch.schema.names[1:]])
 
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("double").alias(c)
-    return (units.join(rare, "row", "left")
+    texts = (units.join(rare, "row", "left")
             .select("units", "rare", "own", "n_shown", "n_words", "doc_id", "held_out", "n_head", "known", "base", *[zero(c) for c in ("r_known", "r_base", "r_score")])
             .mapInArrow(run, "classes binary, n_words long, doc_id long, held_out boolean, n_head long, known double, base double, r_known double, "
                              "r_base double, r_score double"))
+    texts = materialize(texts, "class-texts", "zstd")
+    discard(rare)
+    return texts
 
 
 def learn(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str = "doc_id", rounds: int = ROUNDS,
@@ -440,7 +445,7 @@ def learn(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str
     place = np.searchsorted(model.head_keys, more.column("key").to_numpy().view(np.uint64))
     model.head_units[place] = UNITS + np.arange(len(place))
     model.classes = np.concatenate([model.classes, more.column("class").to_numpy()])
-    texts = materialize(class_texts(units, words, model), "class-texts", "zstd")
+    texts = class_texts(units, words, model)
     discard(units, words)
     model.log_transition = np.log10(_transitions(_class_pairs(texts.where(~F.col("held_out")), model.k)))
     return model, texts, counts
