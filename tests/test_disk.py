@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textlab.llm import class_lm
 from textlab.operators import knn
+from textlab.operators import models as mo
 from textlab.session import ensure_checkpoint_dir, materialize
 
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -48,6 +49,12 @@ def test_rows_of_both_sides_go_once_they_are_packed(spark):
     assert not left & {"set-train", "set-test", "knn-train-rows", "knn-test-rows"}
 
 
+def test_encode_does_not_deal_tokens_out(spark):
+    docs = _rows(spark, range(20))
+    plan = mo.encode(docs, mo.build_vocab(docs, size=10))._jdf.queryExecution().toString()
+    assert "hashpartitioning(token" not in plan and "BroadcastHashJoin [token" in plan
+
+
 def test_class_lm_writes_the_classes_of_words_before_texts_are_shuffled(spark, monkeypatch):
     docs = _rows(spark, range(60)).withColumnRenamed("id", "doc_id")
     old, written = _tables(spark), []

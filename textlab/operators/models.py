@@ -306,8 +306,11 @@ def encode(df: DataFrame, vocab: DataFrame, text: str = "text", max_length: int
 
     Only the first ``max_length`` tokens are looked up, each distinct sequence
     once: an equi-join of its tokens with the vocabulary, regrouped by the
-    sequence's digest, so the vocabulary's size does not matter.
+    sequence's digest, so the vocabulary's size does not matter.  The vocabulary is
+    written first: it is made once, and Spark knows its size, so below the broadcast
+    threshold no token is dealt out by its text, however frequent.
     """
+    vocab = materialize(vocab.select("token", "id"), "vocab")
     unk_id = vocab.where(F.col("token") == unk).select("id").scalar()
     d = (df.withColumn("_tok", F.slice(tokens(text, pattern, lower=lower), 1, max_length))
          .withColumn("_key", F.sha2(F.concat_ws("\u0000", "_tok"), 256)).withColumn("_unk", unk_id))
