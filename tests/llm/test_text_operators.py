@@ -238,3 +238,31 @@ def test_lm_every_word_has_its_own_class(spark, monkeypatch):
 def test_lm_classes_follow_the_vocabulary(spark):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 400), i -> concat('w', id * 400 + i)), ' ')").alias("text"))
     assert class_lm.learn(docs, F.lit(False), rounds=1)[0].k == 55  # 160,000 words
+
+
+def test_lm_hashes_each_word_of_a_batch_once(monkeypatch):
+    """Words are cut and numbered by Arrow; a word is hashed once however often the texts hold it, and keys, places and sizes are
+    those of plain Python."""
+    import pyarrow as pa
+    import xxhash
+
+    hashed, digest = [], xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda w: hashed.append(w) or digest(w))
+    texts = [None, "", " ", "The cat the CAT\x0bthe\x0c cat", "\t a  b\n", "É é\x85q\x1cz", "x" * 300 + "\r a", "the\u2003cat", None, "b " * 500]
+    for part in (pa.array(texts), pa.array(texts).slice(3, 4), pa.array(texts).slice(0, 3), pa.array([], pa.string())):
+        hashed.clear()
+        kinds, which, size = class_lm.batch_words(part)
+        plain = [(t or "").encode().lower().split() for t in part.to_pylist()]
+        every = [w for ws in plain for w in ws]
+        assert sorted(hashed) == sorted(set(every))
+        keys = [(digest(w) & ~(class_lm.ENDINGS - 1)) | (zlib.crc32(w[-3:]) % class_lm.ENDINGS) for w in every]
+        assert kinds[which].tolist() == keys and kinds.tolist() == sorted(set(keys)) and size.tolist() == [len(ws) for ws in plain]
+
+
+def test_lm_counts_words_over_batches(spark):
+    """Counts of a task's batches are added up: more rows than a batch has, and words that occur in many of them."""
+    docs = spark.range(0, 3000, 1, 2).select(F.concat(F.lit("All one "), (F.col("id") % 7).cast("string"), F.lit(" all w"), F.col("id").cast("string")).alias("text"))
+    words = class_lm.Words()
+    want = collections.Counter(words[w] for r in docs.collect() for w in r.text.lower().encode().split())
+    got = class_lm.word_counts(docs).collect()
+    assert len(got) == len(want) and {r.key % 2 ** 64: r.n for r in got} == want

@@ -28,15 +28,15 @@ from __future__ import annotations
 import math
 import zlib
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlab.llm.common import WordHash, byte_rows, chunk_docs, discard
+from textlab.llm.common import chunk_docs, discard
 from textlab.session import materialize
 
 #: Classes at least.
@@ -49,37 +49,55 @@ SMOOTH = 20.0
 UNITS = 1 + ENDINGS + WORDS
 
 
-class Words(WordHash):
-    """word bytes -> 64-bit key whose low bits are the word's ending, so the key alone gives the unit of a rare word."""
+def word_keys(words: pa.Array) -> np.ndarray:
+    """64-bit keys of words without white space; the low bits are the word's ending, so the key alone gives the unit of a rare word."""
+    words = words.cast(pa.binary())
+    each = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), b" ")[0].as_py().split(b" ") if len(words) else []
+    ends = pc.binary_slice(words, -3).dictionary_encode()
+    crc = np.fromiter(map(zlib.crc32, ends.dictionary.to_pylist()), np.uint64, len(ends.dictionary))
+    key = np.fromiter(map(xxhash.xxh3_64_intdigest, each), np.uint64, len(words))
+    return (key & ~np.uint64(ENDINGS - 1)) | (crc % np.uint64(ENDINGS))[ends.indices.to_numpy()]
+
+
+class Words(dict):
+    """Keys of single words, given as bytes."""
 
     def __missing__(self, word: bytes) -> int:
-        key = (xxhash.xxh3_64_intdigest(word) & ~(ENDINGS - 1)) | (zlib.crc32(word[-3:]) % ENDINGS)
-        if len(self) >= self.limit:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = key
+        self[word] = key = int(word_keys(pa.array([word], pa.binary()))[0])
         return key
 
 
+def batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of the words of these texts, sorted, the key's place there of each word in the order of the texts, and the texts'
+    numbers of words.  Arrow cuts and numbers the words, so Python sees each word of a batch once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    size = lists.value_lengths().fill_null(0).to_numpy()
+    words = lists.flatten()
+    full = pc.not_equal(words, "")  # empty ones stand before and after white space at the ends of a text
+    if not pc.all(full).as_py():
+        size = np.bincount(np.repeat(np.arange(len(size)), size)[full.to_numpy(zero_copy_only=False)], minlength=len(size))
+        words = words.filter(full)
+    coded = words.dictionary_encode()
+    kinds, place = np.unique(word_keys(coded.dictionary), return_inverse=True)
+    return kinds, place[coded.indices.to_numpy()], size.astype(np.int64)
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``key, n`` of every word of ``docs``, counted in the tasks first."""
 
     def run(it):
-        words = Words()
-        have: list[np.ndarray] = []
+        have: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush():
-            k, n = np.unique(np.concatenate(have), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
+            k, n = _sums(have)
+            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["key", "n"])
 
         for batch in chunk_docs(it, 512):
-            for text in byte_rows(batch, text_col):
-                toks = (text or b"").lower().split()
-                if toks:
-                    have.append(words.of(toks))
-                    size += len(toks)
-            if size > 4_000_000:
+            kinds, which, _ = batch_words(batch.column(0))
+            have.append((kinds, np.bincount(which, minlength=len(kinds))))
+            size += len(kinds)
+            if size > 2_000_000:
                 yield flush()
                 have, size = [], 0
         if have:
@@ -128,13 +146,9 @@ def unit_texts(docs: DataFrame, model: Model, held_out: Column, text_col: str =
     log_known, log_base = np.log10(np.maximum(num - model.discount, 1e-9)), np.log10(num + 1.0)
 
     def run(it):
-        words = Words()
         for batch in chunk_docs(it, 512):
-            toks = [(text or b"").lower().split() for text in byte_rows(batch, "text")]
-            size = np.fromiter(map(len, toks), np.int64, len(toks))
-            key = words.of(list(chain.from_iterable(toks)))
-            doc = np.repeat(np.arange(len(toks)), size)
-            kinds, which = np.unique(key, return_inverse=True)  # each word of the batch is looked up once
+            kinds, which, size = batch_words(batch.column(1))  # each word of the batch is looked up once
+            doc = np.repeat(np.arange(len(size)), size)
             at = np.minimum(np.searchsorted(keys, kinds), max(0, len(keys) - 1))
             shown = keys[at] == kinds if len(keys) else np.zeros(len(kinds), bool)
             own = shown.copy()
@@ -143,15 +157,15 @@ def unit_texts(docs: DataFrame, model: Model, held_out: Column, text_col: str =
             def per_doc(values):
                 at_kind = np.zeros(len(kinds))
                 at_kind[shown] = values[at[shown]]
-                return np.bincount(doc, at_kind[which], len(toks)).astype(float)  # without a word, bincount gives whole numbers
+                return np.bincount(doc, at_kind[which], len(size)).astype(float)  # without a word, bincount gives whole numbers
 
             # other words of a text: shown ones first, each once with its count
             rest = np.flatnonzero(~own[which])
             entry, place, times = np.unique((doc[rest] * 2 + ~shown[which[rest]]) * len(kinds) + which[rest], return_inverse=True, return_counts=True)
             entry_doc, entry_kind = entry // (2 * len(kinds) or 1), entry % (len(kinds) or 1)
-            ends = np.searchsorted(entry_doc, np.arange(len(toks) + 1))
-            n_shown = np.bincount(entry_doc, shown[entry_kind], len(toks)).astype(np.int32)
-            u = np.zeros(len(key), np.int64)
+            ends = np.searchsorted(entry_doc, np.arange(len(size) + 1))
+            n_shown = np.bincount(entry_doc, shown[entry_kind], len(size)).astype(np.int32)
+            u = np.zeros(len(which), np.int64)
             u[own[which]] = unit[at[which[own[which]]]]
             u[rest] = -1 - (place - ends[doc[rest]])
             starts = np.cumsum(size) - size
@@ -160,7 +174,7 @@ def unit_texts(docs: DataFrame, model: Model, held_out: Column, text_col: str =
                 kind = "<i2" if ends[i + 1] - ends[i] <= 1 << 15 else "<i4"
                 cells.append(u[a:a + n].astype(kind).tobytes() + np.zeros(1, kind).tobytes())
             lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int64())) for x in (kinds[entry_kind].view(np.int64), times)]
-            cols = [pa.array(cells, pa.binary()), pa.array(size), pa.array(np.bincount(doc, shown[which], len(toks)).astype(np.int64)),
+            cols = [pa.array(cells, pa.binary()), pa.array(size), pa.array(np.bincount(doc, shown[which], len(size)).astype(np.int64)),
                     pa.array(per_doc(log_known)), pa.array(per_doc(log_base)), *lists, pa.array(n_shown)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *cols],
                                              ["doc_id", "held_out", "row", "units", "n_words", "n_head", "known", "base", "rare", "times", "n_shown"])
