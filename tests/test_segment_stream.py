@@ -77,6 +77,45 @@ def test_only_matches_travel(spark, monkeypatch):
         assert {r["id"]: r["tokens"] for r in segment(df, "text", dictionary).collect()} == {i: plain(t) for i, t in enumerate(texts)}
 
 
+def test_only_a_large_dictionary_shuffles_texts_and_all_give_the_same_tokens(spark, monkeypatch):
+    import random
+
+    from textlab.operators import segment as sg
+    rng = random.Random(11)
+    letters = "abกข漢😀"
+    words = {"".join(rng.choices(letters, k=rng.randint(1, 40 if i % 9 == 0 else 5))) for i in range(300)} | {"a" * n for n in (2, 3, 50, 60)} | {"[^a]", "\\x{61}"}
+    texts = ["".join(rng.choice([rng.choice(sorted(words)), rng.choice(letters), "z\\n"]) for _ in range(rng.randint(0, 40))) for _ in range(40)] + [None, "", "a" * 300, "a" * 300]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    dictionary = spark.createDataFrame([(w,) for w in sorted(words)] + [(None,), ("",), ("ab",), ("ab",)], "w string")
+    words.add("ab")
+
+    def plain(t):
+        got, i = [], 0
+        while i < len(t):
+            n = max((n for n in range(1, 91) if t[i:i + n] in words and len(t[i:i + n]) == n), default=1)
+            got.append(t[i:i + n])
+            i += n
+        return got
+
+    want = {i: None if t is None else plain(t) for i, t in enumerate(texts)}
+    for name, value in ((None, 0), ("PATTERN_DEPTH", 59), ("TRIED", 0), ("KEPT_HEADS", 2), ("HELD_CHARS", 0)):
+        if name is not None:
+            monkeypatch.setattr(sg, name, value)
+        got = segment(df, "text", dictionary)
+        plan = got._jdf.queryExecution().toString()
+        assert ("Exchange" in plan or "Join" in plan) == (name == "HELD_CHARS") and ("UDF" in plan or "tokens(" in plan) == (name is not None)
+        assert {r["id"]: r["tokens"] for r in got.collect()} == want
+
+
+def test_counting_tokens_cuts_each_text_once(spark):
+    df = spark.createDataFrame([("ab" * 5,), (None,), ("",)], "text string")
+    for dictionary in (["ab"], ["x" * 100, "ab"]):  # a regular expression, held words
+        got = word_freq(segment(df, "text", spark.createDataFrame([(w,) for w in dictionary], "w string")), "tokens", remove_stop_words=False, tokenizer=lambda c: c)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(") + plan.count("tokens(") == 1
+        assert [tuple(r) for r in got.collect()] == [("ab", 5)]
+
+
 def test_tokens_of_a_batch_come_a_few_texts_at_a_time():
     texts = pa.array(["abcx", None, ""] * 1000)
     at, size = pa.array([[0], None, None] * 1000, pa.list_(pa.int32())), pa.array([[3], None, None] * 1000, pa.list_(pa.int32()))

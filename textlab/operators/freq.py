@@ -26,7 +26,8 @@ def tokenize(df: DataFrame, text: str = "text", pattern: str = TOKEN_PATTERN, lo
 def explode_tokens(df: DataFrame, text: str = "text", pattern: str = TOKEN_PATTERN, lower: bool = False,
                    tokenizer=None, out: str = "word") -> DataFrame:
     """One row per token (``tokenizer`` is a ``Column -> ARRAY<STRING>`` override)."""
-    arr = tokenizer(F.col(text)) if tokenizer is not None else tokens(text, pattern, lower=lower)
+    # of a plain column Spark would infer the filter that it has tokens, and cut every text again to test it
+    arr = F.coalesce(tokenizer(F.col(text)), F.array().cast("array<string>")) if tokenizer is not None else tokens(text, pattern, lower=lower)
     return df.select(F.explode(arr).alias(out))
 
 

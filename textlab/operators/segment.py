@@ -4,7 +4,10 @@ Contract (the reference calls an external segmenter): greedy longest match left
 character that starts no dictionary word becomes a one-character token.  Counting the tokens stays in Spark (``word_freq`` with
 ``tokenizer=``).
 
-One plan for a dictionary of any size, in which only matches travel:
+A dictionary of up to ``PATTERN_CHARS`` characters becomes a regular expression, the trie of its words, which Spark runs; one of up to
+``HELD_CHARS`` is held by the tasks (``Words``).  Texts become tokens where they are read; nothing is shuffled or written.
+
+In the plan for a larger dictionary only matches travel:
 
 1. The dictionary's prefixes are hashed character by character into two bit tables of a fixed size, one of all prefixes and one
    of whole words.  Tasks build their part, slices are joined by a shuffle; tasks over texts get the tables (``BITS`` / 4 bytes).
@@ -19,6 +22,7 @@ each get their tokens.  Words longer than a text, and texts of any length, are f
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,6 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textlab.session import materialize
+
+#: Characters of a dictionary, and of a word, that become a regular expression, of about four times that size.
+PATTERN_CHARS, PATTERN_DEPTH = 1 << 18, 64
+#: Characters of a dictionary that tasks hold; about 100 MB of Python objects.
+HELD_CHARS = 1 << 22
+#: First letters by which held words are found, lengths that are tried one by one, and heads whose lengths are kept.
+HEAD = 4
+TRIED = 8
+KEPT_HEADS = 1 << 20
 #: Bits of each table: 4 MB.  A million words set 3% of the bits of whole words.
 BITS = 1 << 25
 #: Bytes of a slice of the tables, and characters whose positions are walked together.
@@ -152,9 +166,108 @@ def spans(texts: DataFrame, words: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "_k string, i int, n int, w string")
 
 
+def _pattern(words: Iterable[str]) -> str:
+    """A regular expression whose matches are the tokens: the longest word, or any character."""
+    root: dict = {}
+    for w in sorted(words):
+        at = root
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def sub(node: dict) -> str:
+        leaves = "".join(f"\\x{{{ord(c):x}}}" for c, n in node.items() if n.keys() == {""})
+        ways = [f"\\x{{{ord(c):x}}}{sub(n)}" for c, n in node.items() if c and n.keys() != {""}] + ([f"[{leaves}]"] if leaves else [])
+        return f"(?:{'|'.join(ways)}){'?' if '' in node else ''}"
+
+    return f"(?s)(?:{sub(root)}|.)" if root else "(?s)."
+
+
+class Words:
+    """A dictionary in memory, found by the first letters at a position and the few lengths of words that begin so.
+
+    Words of a head with many lengths are sorted: the last one not above the text, or a word that begins it, is the longest match;
+    ``shorter`` is the longest other word of the head that begins a word."""
+
+    def __init__(self, words: Iterable[str]):
+        self.words = set(words)
+        self.heads: dict[str, list[str]] = {}
+        for w in sorted(w for w in self.words if len(w) >= HEAD):
+            self.heads.setdefault(w[:HEAD], []).append(w)
+        self.tried: dict[str, tuple[int, ...]] = {}  # lengths to try at a head, the longest first; none: search the sorted words
+        self.shorter: dict[str, str] = {}
+        self.longest: dict[str, int] = {}
+
+    def _lengths(self, head: str) -> tuple[int, ...]:
+        same = self.heads.get(head, [])
+        sizes = sorted(set(map(len, same)), reverse=True)
+        if len(sizes) > TRIED and head not in self.longest:
+            self.longest[head], begun = sizes[0], []
+            for w in same:
+                while begun and not w.startswith(begun[-1]):
+                    begun.pop()
+                if begun:
+                    self.shorter[w] = begun[-1]
+                begun.append(w)
+        sizes += [n for n in range(min(HEAD, len(head) + 1) - 1, 0, -1) if n == 1 or head[:n] in self.words]
+        if len(self.tried) >= KEPT_HEADS:
+            self.tried.clear()
+        self.tried[head] = () if head in self.longest else tuple(sizes)
+        return self.tried[head]
+
+    def _search(self, text: str, i: int, head: str) -> str:
+        same = self.heads[head]
+        at = bisect_right(same, text[i:i + self.longest[head]])
+        word = same[at - 1] if at else None
+        while word is not None and not text.startswith(word, i):
+            word = self.shorter.get(word)
+        return word or next((head[:n] for n in range(HEAD - 1, 1, -1) if head[:n] in self.words), head[0])
+
+    def tokens(self, text: str) -> list[str]:
+        words, tried, end = self.words, self.tried, len(text)
+        out, i = [], 0
+        while i < end:
+            head = text[i:i + HEAD]
+            lengths = tried.get(head)
+            if lengths is None:
+                lengths = self._lengths(head)
+            if lengths:
+                for n in lengths:
+                    word = text[i:i + n]
+                    if word in words:
+                        break
+            else:
+                word = self._search(text, i, head)
+            out.append(word)
+            i += len(word)
+        return out
+
+
+def _held(words: DataFrame):
+    """Tokens by a dictionary that every task holds."""
+    kept = words.sparkSession.sparkContext.broadcast([r["w"] for r in words.collect()])  # at most HELD_CHARS characters
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def tokens(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held = Words(kept.value)
+        for texts in it:
+            for j in range(0, len(texts), WALKED):
+                yield pa.array([None if t is None else held.tokens(t) for t in texts.slice(j, WALKED).to_pylist()], pa.list_(pa.string()))
+            if not len(texts):
+                yield pa.array([], pa.list_(pa.string()))
+
+    return tokens
+
+
 def segment(df: DataFrame, text: str, dictionary: DataFrame, out: str = "tokens") -> DataFrame:
     """Add ``out`` ARRAY<STRING>: the greedy longest-match segmentation of ``text``."""
     words = dictionary.select(F.col(dictionary.columns[0]).cast("string").alias("w")).where(F.length("w") > 0).distinct()
+    words = materialize(words, "words")
+    chars, longest = words.agg(F.coalesce(F.sum(F.length("w")), F.lit(0)), F.coalesce(F.max(F.length("w")), F.lit(0))).first()
+    if chars <= PATTERN_CHARS and longest <= PATTERN_DEPTH:
+        return df.withColumn(out, F.regexp_extract_all(F.col(text), F.lit(_pattern(r["w"] for r in words.collect())), F.lit(0)))
+    if chars <= HELD_CHARS:
+        return df.withColumn(out, _held(words)(F.col(text)))
     key = F.sha2(F.col(text), 256)
     texts = df.select(key.alias("_k"), F.col(text).alias("_t")).where(F.length("_t") > 0).dropDuplicates(["_k"])
     longest = spans(texts, words).join(words, "w", "left_semi").groupBy("_k", "i").agg(F.max("n").alias("n"))
